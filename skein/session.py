@@ -51,9 +51,10 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], weight: str, hot: i
     so no task gets all rows of a hot key; the other keys are joined by shuffle.
     Every row of left whose key is in right comes out exactly once.
     """
-    heavy = right.where(F.col(weight) > hot)
+    heavy = small(right.where(F.col(weight) > hot))
     light = right.where(F.col(weight) <= hot)
-    return left.join(small(heavy), on, "inner").unionByName(left.join(light, on, "inner"))
+    rest = left.join(small(heavy.select(*on)), on, "left_anti")
+    return left.join(heavy, on, "inner").unionByName(rest.join(light, on, "inner"))
 
 
 def partitions(spark: SparkSession) -> int:
