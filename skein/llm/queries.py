@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import boilerplate, copies, normal, terms
+from skein.llm import boilerplate, copies, encode, leaks, normal, terms, toxic
 from skein.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Copies of a question in another format, with the first of its group."""
     return copies.copies(table(spark, d, "qa"), "qa_index", ["question"]).select(F.col("first").alias("qa_index_first"), F.col("copy").alias("qa_index_copy"))
+
+
+@query()
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of every document in the vocabulary byte_bpe_50k."""
+    return encode.encoded(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+@query()
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold at least 40 consecutive characters of a test item."""
+    found = leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual language."""
+    return toxic.scored(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "text").where("score > 0").select(F.col("id").alias("doc_id")).distinct()
+
+
+@query()
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents per source."""
+    documents = table(spark, d, "documents")
+    return toxic.rates(toxic.scored(documents, table(spark, d, "labels"), "doc_id", "text"), documents, "doc_id", "source")
