@@ -39,8 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast when it has at most ``rows`` rows (counted, not guessed); else returns it unmarked for a shuffle join."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, settle: bool = False) -> DataFrame:
+    """Marks df for broadcast when it has at most ``rows`` rows (counted, not guessed); else returns it unmarked for a shuffle join.
+
+    ``settle`` checkpoints a df that is costly to compute first, so that counting and joining don't each compute it.
+    """
+    df = cut(df) if settle else df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -51,6 +55,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], weight: str, hot: i
     so no task gets all rows of a hot key; the other keys are joined by shuffle.
     Every row of left whose key is in right comes out exactly once.
     """
+    right = cut(right)
     heavy = small(right.where(F.col(weight) > hot))
     light = right.where(F.col(weight) <= hot)
     rest = left.join(small(heavy.select(*on)), on, "left_anti")
