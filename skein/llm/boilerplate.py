@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import small
+from skein.session import cut, small
 
 LEAST, SHARE = 5, 0.03
 _NO_SITE = "\x00"
@@ -41,9 +41,9 @@ def line_bitmaps(df: DataFrame, id: str, site: str, text: str, least: int = LEAS
     totals = df.groupBy(F.coalesce(site, F.lit(_NO_SITE)).alias("site")).agg(F.count(F.lit(1)).alias("records"))
     # an upper bound of the documents (variants of one document count apart): what fails here can't qualify
     frequent = keyed.groupBy("site", "h1", "h2").agg(F.count(F.lit(1)).alias("most")).where(F.col("most") >= least).join(small(totals), "site").where(F.col("most") >= share * F.col("records")).select("site", "h1", "h2", "records")
-    maybe = keyed.join(small(frequent), ["site", "h1", "h2"])
+    maybe = keyed.join(small(frequent, settle=True), ["site", "h1", "h2"])
     by_variant = maybe.groupBy("site", "h1", "h2", "variant", "records", F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
-    united = by_variant.groupBy("site", "h1", "h2", "records", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    united = cut(by_variant.groupBy("site", "h1", "h2", "records", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
     size = united.groupBy("site", "h1", "h2", "records").agg(F.sum(F.bitmap_count("bits")).alias("documents"))
     passed = size.where((F.col("documents") >= least) & (F.col("documents") >= share * F.col("records"))).select("site", "h1", "h2")
     return united.join(small(passed), ["site", "h1", "h2"], "left_semi").select("site", "h1", "h2", "bucket", "bits")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import chars
-from skein.session import ship, small
+from skein.session import cut, ship, small
 
 _WORD = "[a-z\\u00c0-\\u024f]+|[\\u0430-\\u045f]+|[\\u03b1-\\u03c9]+"
 
@@ -56,6 +56,7 @@ def repair(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     rows = texts(df, key, columns)
     first = rows.where(F.col("text").rlike(chars.SUSPICIOUS)).mapInPandas(_first, f"key {kind}, field string, fixed string, hit boolean, pairs array<struct<token:string,to:string>>")
+    first = cut(first)
     wanted = first.select("key", "field", F.explode("pairs").alias("p")).select("key", "field", F.lower("p.to").alias("word"))
     # the vocabulary is asked only for the words wanted, so what is shuffled follows their number, not the corpus
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("word"))

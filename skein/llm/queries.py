@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import boilerplate, copies, encode, leaks, normal, terms, toxic
+from skein.llm import boilerplate, copies, encode, leaks, normal, pairs, terms, toxic
 from skein.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,9 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """The rate of such documents per source."""
     documents = table(spark, d, "documents")
     return toxic.rates(toxic.scored(documents, table(spark, d, "labels"), "doc_id", "text"), documents, "doc_id", "source")
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective question and answer pairs with their defect."""
+    return pairs.defects(table(spark, d, "qa"), "qa_index", "site", "question", "answer").select(F.col("id").alias("qa_index"), "defect").distinct()
