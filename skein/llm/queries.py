@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import boilerplate, copies, encode, leaks, normal, pairs, terms, toxic
+from skein.llm import boilerplate, copies, encode, leaks, normal, pairs, privacy, terms, toxic
 from skein.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,10 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective question and answer pairs with their defect."""
     return pairs.defects(table(spark, d, "qa"), "qa_index", "site", "question", "answer").select(F.col("id").alias("qa_index"), "defect").distinct()
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Text fields of visits with personal information, by kind."""
+    found = privacy.personal(table(spark, d, "visits"), "id", ["chief_complaint", "present_history", "doctor_advice"], "pet_name")
+    return found.select("id", "field", F.explode("kinds").alias("kind")).distinct()
