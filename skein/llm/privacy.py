@@ -33,7 +33,7 @@ CHAIN, SKIP, ROUNDS = 0.2, 2.5, 6
 #: Family names (common ones, by frequency, and compound ones).
 SURNAMES = (
     "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
-    "温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁蒲房滕屈饶解牟艾尤阳时穆农司卓古吉缪简车项连芦麦褚娄窦戚岑景荆竺党宫费卜"
+    "温康施文牛樊葛邢安齐易乔伍庞颜倪庄聂章鲁岳翟殷詹申欧耿关兰焦俞左柳甘祝包宁尚符舒阮柯纪梅童凌毕单季裴霍涂成苗谷盛曲翁冉骆蓝路游辛靳管柴蒙鲍华喻祁蒲房滕屈饶解牟艾尤阳时穆农司卓古吉缪简车项连芦麦褚娄窦戚岑景荆竺闻党宫费卜"
     "冷晏席卫米柏宗瞿桂全佟应臧闵苟邬边卞姬师和仇栾隋商刁沙荣巫寇桑郎甄丛仲虞敖巩明佘池查麻苑迟邝屠郁薄蔺鄢"
 )
 COMPOUND = "欧阳 上官 司马 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐 端木 夏侯 司徒 独孤 南宫 长孙 宇文 轩辕 百里 呼延 东郭 西门 闻人 澹台".split()
@@ -76,6 +76,7 @@ _CUES = [
     (re.compile(f"(?:已与|已同|已和|与|和)\\s?({_ANY})(?=电话|微信|沟通|联系|确认|核实|商量)"), 1.0),
     (re.compile(f"由\\s?({_ANY})\\s?(?=代为|代|陪同|送诊|送来|领走|接走|签收)"), 1.5),
     (re.compile(f"(?:主人|宠主|饲主|家属|客户)\\s?({_EN}|{_ZH})(?=陈述|表示|要求|反映|自述|称|诉|说|来电|致电|确认|代|签|同意|，|,|。|$)"), 2.0),
+    (re.compile(f"(?:主人|宠主|饲主|家属|客户)\\s?({_ANY})(?=陈述|自述)"), 2.0),
     (re.compile(f"(?<![{_H}])({_EN}|{_ZH})(?=先生|女士|小姐|太太|说|称|要求|来电|陈述|致电|签字|同意|代领|送诊)"), 2.0),
     (re.compile(f"(?<=[人主与和由告])({_EN}|{_ZH})(?=先生|女士|小姐|太太)"), 1.0),
     (re.compile(f"(?<![{_H}])({_EN}|{_FAMILY}[{_H}]{{1,2}})(?=医生|大夫|医师)"), 1.0),
@@ -84,6 +85,7 @@ _CUES = [
 _GOODS = re.compile(r"(?:条码|单号|编号|芯片号?|批号|发票|样本|订单|运单|快递|货号|参考值|论文|doi|病历号?|处方号?|流水号?|工单|合同|型号|剂量|检验号?|住院号|档案号?|设备号?|序列号?|chip|lot|batch|invoice|barcode|sample|order|sku|ref)\s?(?:码|号|编号|no\.?|number|#)?\s?[:：#]?\s?[A-Za-z]*$", re.I)
 _PHONE_CUE = re.compile(r"(?:电话|手机|致电|来电|打|联系|微信同号|微信|tel|phone|call|mobile|拨|传真)\s?(?:号码?|是|为)?[:：]?\s?\(?$", re.I)
 _ID_CUE = re.compile(r"(?:身份证|证件|证|核对|理赔用?|登记人证件|实名|id|passport)\s?(?:号码?|号|是|为)?[:：,，]?\s?$", re.I)
+_VERB = re.compile(f"[{_H}]*?(?:搬到|寄件到|送药至|送货到|送至|送到|寄到|寄往|住在|家在|住址|地址|位于|上门)(?:是|为)?|住")
 _NOT_GIVEN = re.compile("医生|医院|先生|女士|电话|主人|家属|店员|护士|今天|昨天|复诊|宠物")
 
 #: For Spark: could a row hold any candidate?
@@ -114,7 +116,9 @@ def candidates(text: str, pets: set[str]) -> list[tuple[int, int, int, float]]:
                 before = text[max(0, m.start() - 14) : m.start()]
                 out.append((m.start(), m.end(), 2, base + 3.0 * bool(_ID_CUE.search(before)) - 6.0 * bool(_GOODS.search(before))))
         for pattern, base in _ADDRESSES:
-            out += [(m.start(), m.end(), 3, base) for m in pattern.finditer(text)]
+            for m in pattern.finditer(text):
+                verb = _VERB.match(m[0])
+                out.append((m.start() + (verb.end() if verb else 0), m.start() + len(m[0].rstrip()), 3, base))
     for pattern, base in _CUES:
         for m in pattern.finditer(text):
             s = m[1]
