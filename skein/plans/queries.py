@@ -1,30 +1,14 @@
-"""The registry of core queries: name -> function of (spark, folder), and the equivalent SQL where there is one."""
+"""All core queries: importing this module registers them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.operators import units
+from skein.plans import feature_queries, retrieval_queries, stats_queries, text_queries  # noqa: F401
+from skein.plans.registry import QUERIES, SQL, query  # noqa: F401
 from skein.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
