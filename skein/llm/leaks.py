@@ -172,7 +172,8 @@ def leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str, ite
                     if longest:
                         cleaned = finder.clean(t, spans)
                         rows += [(i, item, n, cleaned) for item, n in longest.items()]
-                yield pd.DataFrame(rows, columns=["id", "item", "longest", "cleaned"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["id", "item", "longest", "cleaned"])
 
         return df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, schema)
 

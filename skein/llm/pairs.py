@@ -99,7 +99,8 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     found.append(last)
                 last, waiting = piece, False
             waiting = waiting or bool(loose)
-        yield pd.DataFrame({"piece": found})
+        if found:
+            yield pd.DataFrame({"piece": found})
 
 
 def shortened(pieces: DataFrame) -> DataFrame:

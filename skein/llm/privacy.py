@@ -210,6 +210,7 @@ def personal(df: DataFrame, id: str, columns: list[str], pet: str | None = None)
                 for c, t, s in zip(columns, fields, spans, strict=True):
                     if s:
                         got.append((i, c, sorted({KINDS[k] for _, _, k in s}), redact(t, s)))
-            yield pd.DataFrame(got, columns=["id", "field", "kinds", "redacted"])
+            if got:
+                yield pd.DataFrame(got, columns=["id", "field", "kinds", "redacted"])
 
     return gated.mapInPandas(run, f"id {kind}, field string, kinds array<string>, redacted string")

@@ -135,7 +135,7 @@ def fit(texts: list[str], bad: np.ndarray) -> Model:
     uid = np.array([names.setdefault(p, len(names)) for x in per for p in x], dtype=np.int64)
     parts = list(names)
     rows, keys = grams(parts)
-    seen = np.bincount(keys, minlength=1 << BITS) > 1
+    seen = np.bincount(keys, np.bincount(uid, minlength=len(parts))[rows], minlength=1 << BITS) > 1
     rows, keys = rows[seen[keys]], keys[seen[keys]]
     n = len(parts)
     scale = 1 / np.sqrt(np.maximum(np.bincount(rows, minlength=n), 1))
