@@ -139,3 +139,30 @@ def test_nearest_in_blocks(spark):
     got = rows(retrieve.nearest(df, "i", "v", df.where("i < 7"), "i", "v", 3, block=2).select("qid", "id", "rank"))
     n = x / np.linalg.norm(x, axis=1)[:, None]
     assert got == sorted([(q, int(i), k + 1) for q in range(7) for k, i in enumerate(np.argsort(-(n[q] @ n.T))[:3])], key=repr)
+
+
+def test_readings_and_codes(spark):
+    from skein.operators import suggest
+
+    d = spark.createDataFrame([("诊", "zhen"), ("症", "zheng"), ("瘦", "shou"), ("嗽", "sou")], "ch string, reading string")
+    w = spark.createDataFrame([("病症",), ("病诊",), ("瘦",), ("嗽",), (None,)], "w string")
+    assert rows(suggest.homophones(w, "w", d)) == sorted([("嗽", "瘦"), ("瘦", "嗽"), ("病症", "病诊"), ("病诊", "病症")], key=repr)
+    same = spark.createDataFrame([("4G02080043A", "4G02080043A"), ("4G02080043A", "3F13191154B")], "a string, b string").select(F.round(suggest.code_similarity(F.col("a"), F.col("b")), 3)).collect()
+    assert [r[0] for r in same] == [1.0, 0.068]
+
+
+def test_viterbi_words(spark):
+    from skein.operators import suggest
+
+    s = [[-1.0, -9.0, -9.0, -9.0], [-9.0, -1.0, -9.0, -9.0], [-1.0, -9.0, -9.0, -9.0]]
+    df = spark.createDataFrame([("犬瘟热", s), ("", []), (None, None)], "t string, s array<array<double>>")
+    assert [r[0] for r in df.select(suggest.viterbi_words("t", "s")).collect()] == [["犬瘟", "热"], [], None]
+
+
+def test_templates(spark):
+    from skein.operators import suggest
+
+    q = ["select ?x where { <犬瘟热> <症状> ?x . }", "select ?x where { ?x <症状> <发热> . }", "select ?y where { <猫> <疾病> ?x . ?x <症状> ?y . }", "x"]
+    e, t = suggest.template_of(F.col("q"))
+    got = spark.createDataFrame([(x,) for x in q], "q string").select(e, t).collect()
+    assert [r[1] for r in got] == ["1a", "1b", "2a", "other"] and got[0][0] == ["犬瘟热"] and got[1][0] == ["发热"]
