@@ -121,7 +121,7 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     rest = F.replace(F.regexp_replace(ca, f"^(?:{INTRODUCTIONS})+(?=.)", ""), F.regexp_replace(cq, f"^(?:{INTRODUCTIONS})+(?=.)", ""), F.lit(""))
     inside = (F.length(ca) >= 0.6 * F.length(cq)) & F.contains(cq, ca)
     copy = (F.length(cq) >= 4) & (inside | (F.contains(ca, cq) & (F.length(F.regexp_replace(rest, f"^(?:{INTRODUCTIONS}|答|a)+$", "")) == 0)))
-    clauses = F.filter(F.transform(F.split(F.lower(text), r"[，,。！？!?；;\n]+|\.(?=\s|$)"), F.trim), lambda x: x != "")
+    clauses = F.filter(F.transform(F.split(F.lower(text), r"[，,。！？!?；;\n]+|\.(?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")
     refusal = F.exists(clauses, lambda x: x.rlike(DECLINES)) & (F.length(F.array_join(F.filter(clauses, lambda x: ~x.rlike(DECLINES) & ~x.rlike(POLITE)), "")) <= 4)
     la, lq = language(text), language(q)
     foreign = la.isNotNull() & lq.isNotNull() & (la != lq)
@@ -132,14 +132,16 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     number = final.rlike(r"^\s*(?:\d+|[一二三四五六七八九十])\s*[.．、)）:：]?\s*$")
     marked = F.col("a").rlike(f"[{MARKS}]$") & ~number
     loose = rows.where("kind is null").where(~marked).select("id", "site", "a", F.length("a").alias("n"), final.alias("final"), (number | F.col("a").rlike(f"[{OPEN}]$")).alias("open"))
-    loose = loose.withColumns({"piece": F.regexp_replace(F.element_at(F.split("final", "[。！？!?]"), -1), r"^\s*\d+[.．、)）]\s*", ""), "e6": F.right("a", F.lit(6)), "e4": F.right("a", F.lit(4)), "short": F.length("final") <= 12})
+    loose = loose.withColumns({"piece": F.regexp_replace(F.element_at(F.split("final", "[。！？!?]"), -1), r"^\s*\d+[.．、)）]\s*", ""), "e6": F.right("a", F.lit(6)), "e5": F.right("a", F.lit(5)), "e4": F.right("a", F.lit(4)), "short": F.length("final") <= 12})
 
     sound = rows.where("kind is null")
     lines = sound.select(F.explode(F.split("a", "\n")).alias("line"))
     ends = [lines.select(F.explode(F.regexp_extract_all("line", F.lit(p), F.lit(1))).alias("end"), F.lit("mark").alias("how")) for p in (r"([^。！？!?]{6})[。！？!?]", r"([^.]{6})\.(?=\s|$)")]
+    ends.append(lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"([^。！？!?]{5})[。！？!?]"), F.lit(1))).alias("end"), F.lit("near").alias("how")))
     unmarked = lines.where(~F.col("line").rlike(f"[{MARKS}]$"))
     ends += [unmarked.where(F.length("line") >= k).select(F.right("line", F.lit(k)).alias("end"), F.lit(h).alias("how")) for k, h in ((6, "line"), (4, "short"))]
-    counted = cut(reduce(DataFrame.unionByName, ends).groupBy("end").pivot("how", ["mark", "line", "short"]).agg(F.count(F.lit(1))))
+    counted = cut(reduce(DataFrame.unionByName, ends).groupBy("end").pivot("how", ["mark", "line", "short", "near"]).agg(F.count(F.lit(1))))
+    e5 = counted.where("near > 0").select(F.col("end").alias("e5"), "near")
     e6, e4 = counted.select(F.col("end").alias("e6"), "mark", "line"), counted.where("short > 0").select(F.col("end").alias("e4"), F.col("short").alias("closing"))
 
     sentences = lines.select(F.explode(F.split("line", "[。！？!?]")).alias("piece")).select(F.regexp_replace("piece", r"^\s*\d+[.．、)）]\s*", "").alias("piece"), F.lit(False).alias("loose"))
@@ -148,10 +150,10 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     around = limits.alias("x").join(limits.groupBy("site").agg(F.sum("here").alias("all"), F.count(F.lit(1)).alias("lengths")).alias("y"), F.col("x.site").eqNullSafe(F.col("y.site")))
     limits = around.where("here >= 8 and here > 10 * all / lengths").select(F.col("x.site").alias("site_"), F.col("n").alias("n_"), F.lit(True).alias("limit"))
 
-    j = loose.join(small(e6), "e6", "left").join(small(e4), "e4", "left").join(small(prefix, settle=True), "piece", "left")
+    j = loose.join(small(e6), "e6", "left").join(small(e5), "e5", "left").join(small(e4), "e4", "left").join(small(prefix, settle=True), "piece", "left")
     j = j.join(small(limits, settle=True), F.col("site").eqNullSafe(F.col("site_")) & (F.col("n") == F.col("n_")), "left")
     has = lambda c, n: F.coalesce(F.col(c) >= n, F.lit(False))
-    complete = has("mark", 2) | has("line", 3) | (F.col("short") & has("closing", 3) & F.col("cut").isNull())
+    complete = has("mark", 2) | has("near", 3) | has("line", 3) | (F.col("short") & has("closing", 3) & F.col("cut").isNull())
     odd_end = F.col("a").rlike(r"[^\p{L}\p{N}\p{P}\s]$")
     truncated = F.col("open") | F.coalesce("limit", F.lit(False)) | (~complete & ~odd_end)
     return rows.where("kind is not null").select("id", F.col("kind").alias("defect")).unionByName(j.where(truncated).select("id", F.lit("truncated").alias("defect")))
