@@ -121,8 +121,9 @@ def bloom_size(n: Column, p: float) -> tuple[Column, Column]:
 def template_of(c: Column) -> tuple[Column, Column]:
     """(entities, template) of a graph query in triple notation: the entities in angle brackets, and the shape of its one or two triples."""
     body = F.regexp_extract(c, r"\{(.*)\}", 1)
-    entities = F.array_distinct(F.regexp_extract_all(body, F.lit(r"<([^>]*)>(?=\s+<|\s*\.|\s*$|\s+\?)"), F.lit(1)))
     triples = F.filter(F.transform(F.split(body, r"\s\.\s?"), lambda x: F.trim(x)), lambda x: x != "")
+    ends = F.flatten(F.transform(triples, lambda t: F.array(F.regexp_extract(t, "^<([^>]*)>", 1), F.regexp_extract(t, r"\s<([^>]*)>$", 1))))
+    entities = F.array_distinct(F.filter(ends, lambda x: x != ""))
     starts = lambda i: F.coalesce(F.element_at(triples, i).startswith("<"), F.lit(False))
     shape = F.when(F.size(triples) == 1, F.when(starts(1), "1a").otherwise("1b")).when(F.size(triples) == 2, F.when(starts(1) & starts(2), "2b").when(starts(1), "2a").otherwise("2c")).otherwise("other")
     return entities, shape
