@@ -14,9 +14,9 @@ BROADCAST_ROWS = 200_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that Python workers on other machines can import it."""
+    """Sends this package to the executors once per application, so that Python workers can import it wherever they run."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_skein_shipped", False):
+    if getattr(sc, "_skein_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
     # Only the driver reads this file; Spark's file server hands it to the executors.
