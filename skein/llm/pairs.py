@@ -54,7 +54,7 @@ FUNCTION_WORDS = {
     "es": "el la los las y es un una de del en con por para si no que se lo al su más hay días después cuando suele mejor cada o antes cuidado",
 }
 MARKS, OPEN = "。！？!?…~～.．」』”》）)】", "，,、：:；;（(「『“《【和与"
-NEAR = 8
+NEAR, CLOSING, LONG_CLOSING = 2, 12, 40
 
 
 def _among(words: list[str]):
@@ -78,6 +78,11 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
 
+def _closing(line: Column) -> Column:
+    """What is counted of a line that may be a closing phrase: the end of a short one, the whole of a longer one."""
+    return F.when(F.length(line) <= CLOSING, F.right(line, F.lit(4))).otherwise(line)
+
+
 def bare(df: DataFrame, id: str, site: str, question: str, answer: str) -> DataFrame:
     """(id, site, q, a): the pairs in consistent characters, the answer without site lines and view counts."""
     rows = df.select(F.col(id).alias("id"), F.col(site).alias("site"), F.col(question).alias("q"), F.col(answer).alias("a"))
@@ -132,14 +137,17 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     number = final.rlike(r"^\s*(?:\d+|[一二三四五六七八九十])\s*[.．、)）:：]?\s*$")
     marked = F.col("a").rlike(f"[{MARKS}]$") & ~number
     loose = rows.where("kind is null").where(~marked).select("id", "site", "a", F.length("a").alias("n"), final.alias("final"), (number | F.col("a").rlike(f"[{OPEN}]$")).alias("open"))
-    loose = loose.withColumns({"piece": F.regexp_replace(F.element_at(F.split("final", "[。！？!?]"), -1), r"^\s*\d+[.．、)）]\s*", ""), "e6": F.right("a", F.lit(6)), "e5": F.right("a", F.lit(5)), "e4": F.right("a", F.lit(4)), "short": F.length("final") <= 12})
+    loose = loose.withColumns({"piece": F.regexp_replace(F.element_at(F.split("final", "[。！？!?]"), -1), r"^\s*\d+[.．、)）]\s*", ""), "e6": F.right("a", F.lit(6)), "e5": F.right("a", F.lit(5)), "e4": _closing(F.col("final")), "short": F.length("final") <= LONG_CLOSING})
 
     sound = rows.where("kind is null")
     lines = sound.select(F.explode(F.split("a", "\n")).alias("line"))
     ends = [lines.select(F.explode(F.regexp_extract_all("line", F.lit(p), F.lit(1))).alias("end"), F.lit("mark").alias("how")) for p in (r"([^。！？!?]{6})[。！？!?]", r"([^.]{6})\.(?=\s|$)")]
     ends.append(lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"([^。！？!?]{5})[。！？!?]"), F.lit(1))).alias("end"), F.lit("near").alias("how")))
-    unmarked = lines.where(~F.col("line").rlike(f"[{MARKS}]$"))
-    ends += [unmarked.where(F.length("line") >= k).select(F.right("line", F.lit(k)).alias("end"), F.lit(h).alias("how")) for k, h in ((6, "line"), (4, "short"))]
+    # an item of a list ends at a line end; the last line of an answer tells nothing, as all broken answers have one
+    items = sound.select(F.explode(F.slice(F.split("a", "\n"), F.lit(1), F.size(F.split("a", "\n")) - 1)).alias("line"))
+    unmarked = lambda x: ~x.rlike(f"[{MARKS}]$")
+    ends.append(items.where(unmarked(F.col("line")) & (F.length("line") >= 6)).select(F.right("line", F.lit(6)).alias("end"), F.lit("line").alias("how")))
+    ends.append(lines.where(unmarked(F.col("line")) & F.length("line").between(4, LONG_CLOSING)).select(_closing(F.col("line")).alias("end"), F.lit("short").alias("how")))
     counted = cut(reduce(DataFrame.unionByName, ends).groupBy("end").pivot("how", ["mark", "line", "short", "near"]).agg(F.count(F.lit(1))))
     e5 = counted.where("near > 0").select(F.col("end").alias("e5"), "near")
     e6, e4 = counted.select(F.col("end").alias("e6"), "mark", "line"), counted.where("short > 0").select(F.col("end").alias("e4"), F.col("short").alias("closing"))

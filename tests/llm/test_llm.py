@@ -90,7 +90,7 @@ def test_bitmaps_over_many_buckets(spark):
 def test_pair_defects(spark):
     good = "先禁食两天，再从幼宠粮开始少量添加。若尾根肿胀并伴抽搐，请在一周内到院做胸片。"
     q = "新宠到家后发现金毛犬腹胀还发热，该怎么办？"
-    data = [(i, "s", q, f"{good}第{i}条经验也请参考，祝早日康复") for i in range(8)]
+    data = [(i, "s", q, f"{good}第{i}条经验也请参考。\n祝早日康复") for i in range(8)]
     data += [(100 + i, "t", q, good) for i in range(4)]
     cases = {
         50: (None, "empty"), 51: ("<br>&nbsp;", "empty"), 52: ("N/A.", "empty"), 53: ("……", "empty"), 54: ("您问的是：" + q, "copy"), 55: (q.replace("，", " "), "copy"), 56: (q + "\n" + good, None), 57: ("抱歉，我无法回答这个问题，请谅解。", "refusal"),
@@ -107,7 +107,7 @@ def test_pair_defects(spark):
 
 def test_shortened_versions(spark):
     df = spark.createDataFrame([("abcdefghij", True), ("abcdefghijkl", False), ("abcdefghijkl", True), ("zzzzzzzzz", True), ("short", True), ("shorter", False)], "piece string, loose boolean")
-    assert rows(pairs.shortened(df)) == [("abcdefghij",)]
+    assert rows(pairs.shortened(df)) == [("abcdefghij",), ("short",)]
 
 
 # ---- personal information
