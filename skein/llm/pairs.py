@@ -61,17 +61,23 @@ def _among(words: list[str]):
     return lambda w: w.isin(words)
 
 
-def language(c: Column) -> Column:
-    """zh, ja, ko, ru, ar, th, el, en, de, fr or es; null where too little is written."""
-    count = lambda p: F.regexp_count(c, F.lit(p))
-    han, kana, hangul, cyrillic, arabic, thai, latin = (count(p) for p in (r"\p{IsHan}", r"[ぁ-ヿ]", r"\p{IsHangul}", r"\p{IsCyrillic}", r"\p{IsArabic}", r"\p{IsThai}", r"\p{IsLatin}"))
-    words = F.split(F.lower(c), r"[^\p{L}']+|(?<=['’])")
-    best = F.array_max(F.array(*[F.struct(F.size(F.filter(words, _among(v.split()))).alias("n"), F.lit(k).alias("k")) for k, v in FUNCTION_WORDS.items()]))
-    return (
+def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with ``out``: zh, ja, ko, ru, ar, th, en, de, fr or es; null where too little is written.
+
+    Scripts and function words are counted in projections of their own, so each is counted once and not once per use.
+    """
+    scripts = {"han": r"\p{IsHan}", "kana": r"[ぁ-ヿ]", "hangul": r"\p{IsHangul}", "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}", "thai": r"\p{IsThai}", "latin": r"\p{IsLatin}"}
+    c = F.col(text)
+    df = df.withColumns({f"_{k}": F.regexp_count(c, F.lit(p)) for k, p in scripts.items()})
+    df = df.withColumn("_words", F.when(F.col("_latin") >= 12, F.split(F.lower(c), r"[^\p{L}']+|(?<=['’])")))
+    df = df.withColumn("_best", F.array_max(F.array(*[F.struct(F.size(F.filter("_words", _among(v.split()))).alias("n"), F.lit(k).alias("k")) for k, v in FUNCTION_WORDS.items()])))
+    han, kana, hangul, cyrillic, arabic, thai, latin = (F.col(f"_{k}") for k in scripts)
+    named = (
         F.when(kana * 8 > han + kana + latin / 4, "ja").when(hangul * 2 > han + latin / 4, F.when(hangul > 2, "ko"))
         .when(cyrillic * 2 > han + latin, F.when(cyrillic > 3, "ru")).when(arabic * 2 > han + latin, F.when(arabic > 3, "ar")).when(thai * 2 > han + latin, F.when(thai > 3, "th"))
-        .when(han * 5 >= latin, F.when(han > 1, "zh")).when((latin >= 12) & (best["n"] >= 2), best["k"])
+        .when(han * 5 >= latin, F.when(han > 1, "zh")).when((latin >= 12) & (F.col("_best")["n"] >= 2), F.col("_best")["k"])
     )
+    return df.withColumn(out, named).drop("_words", "_best", *[f"_{k}" for k in scripts])
 
 
 def _letters(c: Column) -> Column:
@@ -118,20 +124,19 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     """(id, defect): the defective pairs."""
     ship(df.sparkSession)
     rows = bare(df, id, site, question, answer)
-    a, q = F.coalesce("a", F.lit("")), F.col("q")
-    text = F.regexp_replace(a, r"<[^>]*>|&[a-z]+;", " ")
-    core = _letters(text)
+    lead = f"^(?:{INTRODUCTIONS})+(?=.)"
+    rows = rows.withColumn("a", F.coalesce("a", F.lit(""))).withColumn("text", F.regexp_replace("a", r"<[^>]*>|&[a-z]+;", " "))
+    rows = rows.withColumns({"core": _letters(F.col("text")), "ca": canonical(F.col("text")), "cq": canonical(F.col("q"))})
+    rows = rows.withColumns({"rest": F.replace(F.regexp_replace("ca", lead, ""), F.regexp_replace("cq", lead, ""), F.lit("")), "clauses": F.filter(F.transform(F.split(F.lower("text"), r"[，,。！？!?；;\n]+|\.(?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")})
+    rows = with_language(with_language(rows, "text", "la"), "q", "lq")
+    core, ca, cq = F.col("core"), F.col("ca"), F.col("cq")
     empty = (core == "") | core.isin(PLACEHOLDERS)
-    ca, cq = canonical(text), canonical(q)
-    rest = F.replace(F.regexp_replace(ca, f"^(?:{INTRODUCTIONS})+(?=.)", ""), F.regexp_replace(cq, f"^(?:{INTRODUCTIONS})+(?=.)", ""), F.lit(""))
     inside = (F.length(ca) >= 0.6 * F.length(cq)) & F.contains(cq, ca)
-    copy = (F.length(cq) >= 4) & (inside | (F.contains(ca, cq) & (F.length(F.regexp_replace(rest, f"^(?:{INTRODUCTIONS}|答|a)+$", "")) == 0)))
-    clauses = F.filter(F.transform(F.split(F.lower(text), r"[，,。！？!?；;\n]+|\.(?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")
-    refusal = F.exists(clauses, lambda x: x.rlike(DECLINES)) & (F.length(F.array_join(F.filter(clauses, lambda x: ~x.rlike(DECLINES) & ~x.rlike(POLITE)), "")) <= 4)
-    la, lq = language(text), language(q)
-    foreign = la.isNotNull() & lq.isNotNull() & (la != lq)
+    copy = (F.length(cq) >= 4) & (inside | (F.contains(ca, cq) & (F.length(F.regexp_replace("rest", f"^(?:{INTRODUCTIONS}|答|a)+$", "")) == 0)))
+    refusal = F.exists("clauses", lambda x: x.rlike(DECLINES)) & (F.length(F.array_join(F.filter("clauses", lambda x: ~x.rlike(DECLINES) & ~x.rlike(POLITE)), "")) <= 4)
+    foreign = F.col("la").isNotNull() & F.col("lq").isNotNull() & (F.col("la") != F.col("lq"))
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(foreign, "language")
-    rows = cut(rows.select("id", "site", a.alias("a"), kind.alias("kind")))
+    rows = cut(rows.select("id", "site", "a", kind.alias("kind")))
 
     final = F.element_at(F.split("a", "\n"), -1)
     number = final.rlike(r"^\s*(?:\d+|[一二三四五六七八九十])\s*[.．、)）:：]?\s*$")
