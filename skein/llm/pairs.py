@@ -9,8 +9,9 @@ What doesn't belong to an answer is taken off first: the lines its site repeats,
 * ``truncated``: the answer ends without a final mark, and its ending isn't one. All answers and sentences are sorted by
   text; one that is a proper prefix of its neighbour is a shortened version. Lengths at which a site's unmarked answers
   pile up are its length limit. Neither is needed for an ending that nowhere else closes a sentence, a list item or a
-  closing phrase. An ending that does so elsewhere is complete, unless it sits at a length limit. An answer that stops at an
-  open bracket, a comma, a colon or a bare list number is broken off.
+  closing phrase. An ending that does so elsewhere is complete, unless it sits at a length limit. A closing phrase is vouched
+  for by other answers only, copies counted once, and only if at least as many of them end with it as go on after it. An
+  answer that stops at an open bracket, a comma, a colon or a bare list number is broken off.
 
 Endings are counted with map-side combining over all answers; the sort is by hash of the first characters, then within tasks,
 each of which looks only at two neighbours at a time. The cleaned pairs are read many times, so they are checkpointed.
@@ -54,7 +55,7 @@ FUNCTION_WORDS = {
     "es": "el la los las y es un una de del en con por para si no que se lo al su más hay días después cuando suele mejor cada o antes cuidado",
 }
 MARKS, OPEN = "。！？!?…~～.．」』”》）)】", "，,、：:；;（(「『“《【和与"
-NEAR, CLOSING, LONG_CLOSING = 2, 12, 40
+NEAR, CLOSING, LONG_CLOSING, VOUCHERS = 2, 12, 40, 2
 
 
 def _among(words: list[str]):
@@ -89,6 +90,21 @@ def _closing(line: Column) -> Column:
     return F.when(F.length(line) <= CLOSING, F.right(line, F.lit(4))).otherwise(line)
 
 
+def closings(lines: DataFrame) -> DataFrame:
+    """(e4, closes): of (own, line), the endings of short unmarked lines that at least ``VOUCHERS`` other answers share, and no fewer than go on after it.
+
+    ``own`` is equal for copies of an answer, so an answer and its copies count once; the answer under test is one of those counted.
+    """
+    short = lines.where(~F.col("line").rlike(f"[{MARKS}]$") & F.length("line").between(4, LONG_CLOSING))
+    shared = cut(short.groupBy(_closing(F.col("line")).alias("e4")).agg(F.count_distinct("own").alias("closing")).where(F.col("closing") > VOUCHERS))
+    after = r"\s?[\p{L}\p{N}]"
+    grams = lines.select("own", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{4}}){after})"), F.lit(1)))).alias("last"))
+    quoted = F.concat(F.lit(r"\Q"), F.replace("e4", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E{after}"))
+    inside = grams.join(small(shared.select("e4", F.right("e4", F.lit(4)).alias("last"))), "last").where((F.length("e4") == 4) | F.regexp_like("line", quoted))
+    inside = inside.groupBy("e4").agg(F.count_distinct("own").alias("inside"))
+    return shared.join(small(inside, settle=True), "e4", "left").where(F.col("closing") > F.coalesce("inside", F.lit(0))).select("e4", F.lit(True).alias("closes"))
+
+
 def bare(df: DataFrame, id: str, site: str, question: str, answer: str) -> DataFrame:
     """(id, site, q, a): the pairs in consistent characters, the answer without site lines and view counts."""
     rows = df.select(F.col(id).alias("id"), F.col(site).alias("site"), F.col(question).alias("q"), F.col(answer).alias("a"))
@@ -136,7 +152,7 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     refusal = F.exists("clauses", lambda x: x.rlike(DECLINES)) & (F.length(F.array_join(F.filter("clauses", lambda x: ~x.rlike(DECLINES) & ~x.rlike(POLITE)), "")) <= 4)
     foreign = F.col("la").isNotNull() & F.col("lq").isNotNull() & (F.col("la") != F.col("lq"))
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(foreign, "language")
-    rows = cut(rows.select("id", "site", "a", kind.alias("kind")))
+    rows = cut(rows.select("id", "site", "a", F.xxhash64("ca").alias("own"), kind.alias("kind")))
 
     final = F.element_at(F.split("a", "\n"), -1)
     number = final.rlike(r"^\s*(?:\d+|[一二三四五六七八九十])\s*[.．、)）:：]?\s*$")
@@ -145,17 +161,16 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     loose = loose.withColumns({"piece": F.regexp_replace(F.element_at(F.split("final", "[。！？!?]"), -1), r"^\s*\d+[.．、)）]\s*", ""), "e6": F.right("a", F.lit(6)), "e5": F.right("a", F.lit(5)), "e4": _closing(F.col("final")), "short": F.length("final") <= LONG_CLOSING})
 
     sound = rows.where("kind is null")
-    lines = sound.select(F.explode(F.split("a", "\n")).alias("line"))
+    lines = sound.select("own", F.explode(F.split("a", "\n")).alias("line"))
     ends = [lines.select(F.explode(F.regexp_extract_all("line", F.lit(p), F.lit(1))).alias("end"), F.lit("mark").alias("how")) for p in (r"([^。！？!?]{6})[。！？!?]", r"([^.]{6})\.(?=\s|$)")]
     ends.append(lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"([^。！？!?]{5})[。！？!?]"), F.lit(1))).alias("end"), F.lit("near").alias("how")))
     # an item of a list ends at a line end; the last line of an answer tells nothing, as all broken answers have one
     items = sound.select(F.explode(F.slice(F.split("a", "\n"), F.lit(1), F.size(F.split("a", "\n")) - 1)).alias("line"))
     unmarked = lambda x: ~x.rlike(f"[{MARKS}]$")
     ends.append(items.where(unmarked(F.col("line")) & (F.length("line") >= 6)).select(F.right("line", F.lit(6)).alias("end"), F.lit("line").alias("how")))
-    ends.append(lines.where(unmarked(F.col("line")) & F.length("line").between(4, LONG_CLOSING)).select(_closing(F.col("line")).alias("end"), F.lit("short").alias("how")))
-    counted = cut(reduce(DataFrame.unionByName, ends).groupBy("end").pivot("how", ["mark", "line", "short", "near"]).agg(F.count(F.lit(1))))
+    counted = cut(reduce(DataFrame.unionByName, ends).groupBy("end").pivot("how", ["mark", "line", "near"]).agg(F.count(F.lit(1))))
     e5 = counted.where("near > 0").select(F.col("end").alias("e5"), "near")
-    e6, e4 = counted.select(F.col("end").alias("e6"), "mark", "line"), counted.where("short > 0").select(F.col("end").alias("e4"), F.col("short").alias("closing"))
+    e6, e4 = counted.select(F.col("end").alias("e6"), "mark", "line"), closings(lines)
 
     sentences = lines.select(F.explode(F.split("line", "[。！？!?]")).alias("piece")).select(F.regexp_replace("piece", r"^\s*\d+[.．、)）]\s*", "").alias("piece"), F.lit(False).alias("loose"))
     prefix = shortened(loose.select("piece", F.lit(True).alias("loose")).unionByName(sentences)).distinct().withColumn("cut", F.lit(True))
@@ -166,7 +181,7 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     j = loose.join(small(e6), "e6", "left").join(small(e5), "e5", "left").join(small(e4), "e4", "left").join(small(prefix, settle=True), "piece", "left")
     j = j.join(small(limits, settle=True), F.col("site").eqNullSafe(F.col("site_")) & (F.col("n") == F.col("n_")), "left")
     has = lambda c, n: F.coalesce(F.col(c) >= n, F.lit(False))
-    complete = has("mark", 2) | has("near", 3) | has("line", 3) | (F.col("short") & has("closing", 3) & F.col("cut").isNull())
+    complete = has("mark", 2) | has("near", 3) | has("line", 3) | (F.col("short") & F.col("closes").isNotNull() & F.col("cut").isNull())
     odd_end = F.col("a").rlike(r"[^\p{L}\p{N}\p{P}\s]$")
     truncated = F.col("open") | F.coalesce("limit", F.lit(False)) | (~complete & ~odd_end)
     return rows.where("kind is not null").select("id", F.col("kind").alias("defect")).unionByName(j.where(truncated).select("id", F.lit("truncated").alias("defect")))

@@ -105,6 +105,25 @@ def test_pair_defects(spark):
     assert pairs.defects(df.limit(0), "k", "s", "q", "a").count() == 0
 
 
+def test_broken_answers_do_not_vouch_for_themselves(spark):
+    good = "先禁食两天，再从幼宠粮开始少量添加。若尾根肿胀并伴抽搐，请在一周内到院做胸片。"
+    q = "新宠到家后发现金毛犬腹胀还发热，该怎么办？"
+    data = [(i, "s", q, f"{good}第{i}条经验也请参考。\n祝早日康复") for i in range(8)]
+    data += [(20 + i, "s", q, f"{good}\n打喷嚏时耳道的毛先剪") for i in range(3)] + [(30, "s", q, f"{good}\n 打喷嚏时，耳道的毛先剪")]  # copies, shorter than the whole text elsewhere
+    data += [(40 + i, "s", q, f"{good}第{i}次给{w}喂药以后请先观察半天再喂水。") for i, w in enumerate("猫狗兔鼠鸟龟")] + [(50 + i, "s", q, f"{good}第{i}次复诊。\n给{w}喂药以后请先") for i, w in enumerate("马牛羊")]
+    data += [(60 + i, "s", q, f"{good}\n慢慢调理不要着急一定会好起来的" + x) for i, x in enumerate(["", "", ""])]
+    df = spark.createDataFrame(data, "k long, s string, q string, a string")
+    got = dict(rows(pairs.defects(df, "k", "s", "q", "a")))
+    assert got == dict.fromkeys([20, 21, 22, 30, 50, 51, 52, 60, 61, 62], "truncated")
+
+
+def test_closings_against_brute_force(spark):
+    texts = ["祝早日康复", "祝团子早日康复\n早日康复的例子", "早日康复", "请先观察", "请先观察半天", "先观察 x", "再请先观察", r"一句很长很长的结尾\E在这里没有", r"一句很长很长的结尾\E在这里没有", r"一句很长很长的结尾\E在这里没有", r"一句很长很长的结尾\E在这里没有人"]
+    df = spark.createDataFrame([(i, x) for i, t in enumerate(texts) for x in t.split("\n")], "own long, line string")
+    assert rows(pairs.closings(df)) == [(r"一句很长很长的结尾\E在这里没有", True), ("早日康复", True)]
+    assert pairs.closings(df.where("own in (0, 1)").unionByName(df.where("own = 1"))).count() == 0
+
+
 def test_shortened_versions(spark):
     df = spark.createDataFrame([("abcdefghij", True), ("abcdefghijkl", False), ("abcdefghijkl", True), ("zzzzzzzzz", True), ("short", True), ("shorter", False)], "piece string, loose boolean")
     assert rows(pairs.shortened(df)) == [("abcdefghij",), ("short",)]
