@@ -111,7 +111,7 @@ class Encoder:
         return found
 
     def learn(self, words: set[str]) -> None:
-        """Adds the ids of the words not yet known."""
+        """Adds the ids of the words not yet known. ``words`` are all words of a batch, as those known may be dropped first."""
         if len(self.known) > CACHE:
             self.known.clear()
         new = sorted(((w.encode("utf-8", "surrogatepass"), w) for w in words if w not in self.known), key=lambda x: len(x[0]))
@@ -141,7 +141,7 @@ class Encoder:
         out: list[list[int]] = []
         for i in range(0, len(cut), BATCH):
             part = cut[i : i + BATCH]
-            self.learn({w for words in part for w in words if w not in self.known})
+            self.learn({w for words in part for w in words})
             known = self.known
             out += [[x for w in words for x in known[w]] for words in part]
         return out

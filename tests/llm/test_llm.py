@@ -197,6 +197,15 @@ def test_encoding_equals_the_library(encoder, spark):
     assert got == {i: tuple(w) for i, w in enumerate(want)} | {90: ()}
 
 
+def test_a_full_cache_keeps_the_words_of_the_batch(encoder, monkeypatch):
+    texts = ["the cat, the dog", "the bird, the dog", None, "the cat, a fish, the bird and one more", "the dog"] * 3
+    want = [encoder.encode([x])[0] for x in texts]
+    monkeypatch.setattr(encode, "CACHE", 3)
+    monkeypatch.setattr(encode, "BATCH", 2)
+    fresh = encode.Encoder(*encode.merge_table())
+    assert fresh.encode(texts) == want and len(fresh.known) < 15
+
+
 # ---- leaks
 
 
