@@ -3,9 +3,10 @@
 A document is one row with all its text fields. Candidate spans come from patterns (e-mail, phone, identity number,
 address, name); each is a binary node whose potential is a log-linear sum of features: form, cue words before and behind,
 validity of a date, a known family name, the row's pet name. Neighbouring nodes are linked weakly; nodes of a document with
-the same or a similar surface, however far apart, share a strong skip edge, and every further occurrence of a name that has
-a cue somewhere becomes a node too. Loopy belief propagation, run for all documents of an Arrow batch at once in numpy,
-spreads the evidence; spans with belief above one half are replaced by a typed placeholder, all else stays as it was.
+the same or a similar surface, however many and however far apart, are linked strongly to one shared label node, and every
+further occurrence of a name that has a cue somewhere becomes a node too. A repeat without evidence of its own is neutral.
+Loopy belief propagation, run for all documents of an Arrow batch at once in numpy until the messages settle, spreads the
+evidence; spans with belief above one half are replaced by a typed placeholder, all else stays as it was.
 
 The potentials are set by hand: no labelled rows exist for this problem. Rows without any character sequence that could
 start a candidate are passed over in the JVM.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from skein.session import ship
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-CHAIN, SKIP, ROUNDS = 0.2, 2.5, 6
+CHAIN, SKIP = 0.2, 2.5
+#: Messages have settled when none changes by more; the rounds are only a guard against an oscillation.
+SETTLED, ROUNDS = 1e-6, 10_000
 
 #: Family names (common ones, by frequency, and compound ones).
 SURNAMES = (
@@ -101,29 +104,31 @@ def _known_family(s: str) -> bool:
     return len(s) > 1 and ((s[:2] in COMPOUND and len(s) > 2) or (s[0] in SURNAMES and s not in COMPOUND))
 
 
-def candidates(text: str, pets: set[str]) -> list[tuple[int, int, int, float]]:
-    """(begin, end, kind, potential) of the candidate spans of one text in ordinary width."""
-    out: list[tuple[int, int, int, float]] = []
+def candidates(text: str, pets: set[str]) -> list[tuple[int, int, int, float, float]]:
+    """(begin, end, kind, potential, context) of the candidate spans of one text in ordinary width; context is the part of the potential that doesn't come from the span's own form."""
+    out: list[tuple[int, int, int, float, float]] = []
     if "@" in text or "at" in text:
-        out += [(m.start(), m.end(), 0, 4.0) for m in _EMAIL.finditer(text)]
+        out += [(m.start(), m.end(), 0, 4.0, 0.0) for m in _EMAIL.finditer(text)]
     if any(c.isdigit() for c in text) or "幺" in text or "一" in text:
         for pattern, base in _PHONES:
             for m in pattern.finditer(text):
                 before = text[max(0, m.start() - 14) : m.start()]
-                out.append((m.start(), m.end(), 1, base + 3.0 * bool(_PHONE_CUE.search(before)) - 6.0 * bool(_GOODS.search(before)) - 3.0 * bool(text[m.end() : m.end() + 1] == "@" or text[m.end() : m.end() + 2] == " @")))
+                context = 3.0 * bool(_PHONE_CUE.search(before)) - 6.0 * bool(_GOODS.search(before)) - 3.0 * bool(text[m.end() : m.end() + 1] == "@" or text[m.end() : m.end() + 2] == " @")
+                out.append((m.start(), m.end(), 1, base + context, context))
         for pattern, base in _IDS:
             for m in pattern.finditer(text):
                 before = text[max(0, m.start() - 14) : m.start()]
-                out.append((m.start(), m.end(), 2, base + 3.0 * bool(_ID_CUE.search(before)) - 6.0 * bool(_GOODS.search(before))))
+                context = 3.0 * bool(_ID_CUE.search(before)) - 6.0 * bool(_GOODS.search(before))
+                out.append((m.start(), m.end(), 2, base + context, context))
         for pattern, base in _ADDRESSES:
             for m in pattern.finditer(text):
                 verb = _VERB.match(m[0])
-                out.append((m.start() + (verb.end() if verb else 0), m.start() + len(m[0].rstrip()), 3, base))
+                out.append((m.start() + (verb.end() if verb else 0), m.start() + len(m[0].rstrip()), 3, base, 0.0))
     for pattern, base in _CUES:
         for m in pattern.finditer(text):
             s = m[1]
             family = s[0] < "　" or _known_family(s)
-            out.append((m.start(1), m.end(1), 4, base + (1.5 if family else -1.0 if len(s) == 3 else -3.0) - 6.0 * (s in pets) - 6.0 * bool(_NOT_GIVEN.search(s)) - 6.0 * (s in COMPOUND)))
+            out.append((m.start(1), m.end(1), 4, base + (1.5 if family else -1.0 if len(s) == 3 else -3.0) - 6.0 * (s in pets) - 6.0 * bool(_NOT_GIVEN.search(s)) - 6.0 * (s in COMPOUND), base))
     return out
 
 
@@ -136,7 +141,9 @@ def believe(theta: np.ndarray, a: np.ndarray, b: np.ndarray, j: np.ndarray, roun
     message = np.zeros(len(source))
     for _ in range(rounds):
         total = theta + np.bincount(target, message, minlength=len(theta))
-        message = 2 * np.arctanh(np.clip(couple * np.tanh(np.clip(total[source] - message[back], -30, 30) / 2), -1 + 1e-12, 1 - 1e-12))
+        last, message = message, 2 * np.arctanh(np.clip(couple * np.tanh(np.clip(total[source] - message[back], -30, 30) / 2), -1 + 1e-12, 1 - 1e-12))
+        if np.abs(message - last).max() <= SETTLED:
+            break
     return theta + np.bincount(target, message, minlength=len(theta))
 
 
@@ -145,25 +152,25 @@ def label(rows: list[list[str | None]], pets: list[set[str]]) -> list[list[list[
     theta, kind, where, a, b, j = [], [], [], [], [], []
     for r, fields in enumerate(rows):
         texts = [t.translate(_WIDE) if t else "" for t in fields]
-        nodes: dict[tuple[int, int, int, int], float] = {}
+        nodes: dict[tuple[int, int, int, int], tuple[float, float]] = {}
         for f, t in enumerate(texts):
-            for s, e, k, w in candidates(t, pets[r]) if t else ():
+            for s, e, k, w, context in candidates(t, pets[r]) if t else ():
                 key = (f, s, e, k)
-                nodes[key] = max(nodes.get(key, -9.0), w)
+                nodes[key] = max(nodes.get(key, (w, context)), (w, context))
         if not nodes:
             continue
-        for name in {texts[f][s:e] for (f, s, e, k), w in nodes.items() if k == 4 and w > 0}:
+        for name in {texts[f][s:e] for (f, s, e, k), (w, _) in nodes.items() if k == 4 and w > 0}:
             for f, t in enumerate(texts):
                 at = t.find(name)
                 while at >= 0:
-                    nodes.setdefault((f, at, at + len(name), 4), -0.5)
+                    nodes.setdefault((f, at, at + len(name), 4), (0.0, 0.0))
                     at = t.find(name, at + 1)
         first = len(theta)
         keys = sorted(nodes)
         same: dict[tuple[int, str], list[int]] = {}
         for i, key in enumerate(keys):
             f, s, e, k = key
-            theta.append(nodes[key])
+            theta.append(nodes[key][0])
             kind.append(k)
             where.append((r, f, s, e))
             same.setdefault((k, re.sub(r"[\W_]+", "", texts[f][s:e]).lower()), []).append(first + i)
@@ -171,15 +178,23 @@ def label(rows: list[list[str | None]], pets: list[set[str]]) -> list[list[list[
                 a.append(first + i - 1)
                 b.append(first + i)
                 j.append(CHAIN)
-        for group in same.values():  # a ring links any number of equal spans with as many edges
-            for x, y in zip(group, group[1:]):
-                a.append(x)
-                b.append(y)
-                j.append(SKIP)
+        for group in same.values():  # a label node of kind -1 links any number of equal spans with as many edges
+            if len(group) == 1:
+                continue
+            if any(theta[x] > 0 for x in group):  # the form of a repeat, which has no context of its own, speaks once, at the spans with evidence
+                for x in group:
+                    if theta[x] < 0 and not nodes[keys[x - first]][1]:
+                        theta[x] = 0.0
+            a += [len(theta)] * len(group)
+            b += group
+            j += [SKIP] * len(group)
+            theta.append(0.0)
+            kind.append(-1)
+            where.append((r, -1, 0, 0))
     belief = believe(np.array(theta), np.array(a, int), np.array(b, int), np.array(j)) if theta else np.zeros(0)
     out: list[list[list[tuple[int, int, int]]]] = [[[] for _ in fields] for fields in rows]
     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i in sorted(np.flatnonzero(belief > 0), key=lambda i: (kind[i], -(where[i][3] - where[i][2]), -belief[i])):
+    for i in sorted((i for i in np.flatnonzero(belief > 0) if kind[i] >= 0), key=lambda i: (kind[i], -(where[i][3] - where[i][2]), -belief[i])):
         r, f, s, e = where[i]
         spans = taken.setdefault((r, f), [])
         if all(e <= x or s >= y for x, y in spans):

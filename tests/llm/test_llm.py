@@ -158,6 +158,17 @@ def test_a_name_is_found_everywhere_once_it_has_a_cue():
     assert privacy.label([[None, b, None]], [set()])[0][1] == []
 
 
+@pytest.mark.parametrize("n", [1, 10, 100])
+def test_all_repeats_of_a_cued_name_or_number_are_found(n):
+    name = privacy.label([["联系人屠枕流。" + "昨天屠枕流来过" * n, None, "屠枕流"]], [set()])[0]
+    assert len(name[0]) == n + 1 and name[2] == [(0, 3, 4)]
+    number = privacy.label([["证件号：AB1234567，" + "又见AB1234567，" * n]], [set()])[0][0]
+    assert len(number) == n + 1
+    goods = privacy.label([["电话13812345678，" + "批号13812345678，" * n]], [set()])[0][0]
+    assert [x[:2] for x in goods] == [(2, 13)]
+    assert privacy.label([["又见AB1234567，" * n]], [set()])[0][0] == []
+
+
 def test_belief_is_exact_on_trees():
     theta, a, b, j = np.array([1.0, -0.5, 0.3]), np.array([0, 1]), np.array([1, 2]), np.array([1.2, 0.7])
     p = np.zeros((3, 2))
