@@ -28,3 +28,17 @@ def within_edits(df: DataFrame, column: str, k: int) -> DataFrame:
     met = met.unionByName(tiny.select(F.col("s").alias("x"), F.col("n").alias("nx")).join(base.where(F.col("n") <= 2 * k).select(F.col("s").alias("y"), F.col("n").alias("ny")), F.col("ny").between(F.col("nx"), F.col("nx") + k)).where("x <> y").select("x", "y"))
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b", k)).where("distance >= 0")
+
+
+def sharing(df: DataFrame, column: str, least: float) -> DataFrame:
+    """(a, b): pairs a < b of distinct strings whose sets of characters have a Jaccard similarity of at least ``least`` > 0, and perhaps some more.
+
+    Sets this similar share one of the rarest n - least * n + 1 of their n characters, so only those are joined by equality,
+    and their sizes differ by at most that factor. Nulls and empty strings have no partner.
+    """
+    base = df.select(F.col(column).alias("s")).where("s is not null").distinct()
+    chars = base.select("s", F.explode(F.array_distinct(F.filter(F.split("s", ""), lambda c: c != ""))).alias("c"))
+    ranked = chars.join(chars.groupBy("c").agg(F.count(F.lit(1)).alias("f")), "c").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("f", "c"))).alias("r")).withColumn("n", F.size("r"))
+    rare = ranked.select("s", "n", F.explode(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))).alias("r")).select("s", "n", F.col("r.c").alias("c"))
+    met = rare.select(F.col("s").alias("a"), F.col("n").alias("na"), "c").join(rare.select(F.col("s").alias("b"), F.col("n").alias("nb"), "c"), "c").where("a < b")
+    return met.where((F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()

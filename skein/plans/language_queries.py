@@ -153,11 +153,12 @@ def q_path_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_synonyms(spark: SparkSession, d: str) -> DataFrame:
-    """Synonym candidates of several methods, with the method."""
+    """Synonym candidates with their method: words of similar neighbours, and names and aliases whose characters have a Jaccard similarity of 0.5 or more."""
     net = counts.network_similarity(counts.cooccurrence(table(spark, d, "qa"), "question_rough_cut")).select("x", "y", "similarity", F.lit("network").alias("method"))
-    from skein.plans.text_queries import name_pairs
+    from skein.operators.joins import sharing
+    from skein.plans.text_queries import names_and_aliases
 
-    p = name_pairs(spark, d).select(F.col("a").alias("x"), F.col("b").alias("y"), sim.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.lit("characters").alias("method")).where("similarity >= 0.5")
+    p = sharing(names_and_aliases(spark, d), "name", 0.5).select(F.col("a").alias("x"), F.col("b").alias("y"), sim.jaccard(F.col("a"), F.col("b")).alias("similarity"), F.lit("characters").alias("method")).where("similarity >= 0.5")
     return net.unionByName(p).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -151,6 +151,12 @@ _PAIRS = """with a as (select distinct name from entity_alias where name is not
 p as (select l.name as a, r.name as b from x l join x r on l.k = r.k and l.name < r.name)"""
 
 
+def names_and_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """(name): all different names and aliases."""
+    e = table(spark, d, "entity_alias")
+    return e.select("name").unionByName(e.select(F.explode("alias").alias("name"))).where("name is not null and trim(name) <> ''").distinct()
+
+
 def name_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different names that share their first character."""
     x = table(spark, d, "entity_alias").where("name is not null").select("name", F.substring("name", 1, 1).alias("k")).distinct()
@@ -164,9 +170,11 @@ def q_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_string_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Edit ratio, quick ratio, Jaro-Winkler and longest common substring of name pairs."""
+    """Edit ratio, quick ratio, Jaro-Winkler and longest common substring of all pairs of names and aliases that share a character."""
+    from skein.operators.joins import sharing
+
     a, b = F.col("a"), F.col("b")
-    return name_pairs(spark, d).select("a", "b", F.round(sim.edit_ratio(a, b), 6).alias("edit_ratio"), F.round(sim.quick_ratio(a, b), 6).alias("quick_ratio"), F.round(sim.jaro_winkler(a, b), 6).alias("jaro_winkler"), sim.common_substring(a, b).alias("common_substring"))
+    return sharing(names_and_aliases(spark, d), "name", 1e-6).select("a", "b", F.round(sim.edit_ratio(a, b), 6).alias("edit_ratio"), F.round(sim.quick_ratio(a, b), 6).alias("quick_ratio"), F.round(sim.jaro_winkler(a, b), 6).alias("jaro_winkler"), sim.common_substring(a, b).alias("common_substring"))
 
 
 @query("""with n as (select distinct p_name as s from part) select l.s as a, r.s as b, cast(levenshtein(l.s, r.s) as int) as distance from n l join n r on l.s < r.s and abs(length(l.s) - length(r.s)) <= 3 where levenshtein(l.s, r.s) <= 3""")

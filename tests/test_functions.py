@@ -70,6 +70,25 @@ def test_limits_are_numbers(spark):
     assert rows(ft.limits(b)) == [("x", 9.5, 10.2), ("y", 6.0, 8.0), ("z", None, None)]
 
 
+def test_sharing_finds_all_similar_pairs(spark):
+    r = np.random.default_rng(2)
+    words = sorted({"".join(r.choice(list("abcdefgh"), r.integers(0, 7))) for _ in range(120)})
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
+    for least in (0.5, 0.6):
+        got = {(a, b) for a, b in rows(joins.sharing(df, "w", least))}
+        want = {(a, b) for a, b in itertools.combinations(words, 2) if set(a) & set(b) and len(set(a) & set(b)) >= least * len(set(a) | set(b))}
+        assert want <= got
+
+
+def test_synonyms_that_begin_differently(spark, tmp_path):
+    from skein.plans.language_queries import q_synonyms
+
+    spark.createDataFrame([("美国短毛猫", ["美短"]), ("英国短毛猫", ["国短毛猫", None, ""]), (None, None)], "name string, alias array<string>").write.parquet(str(tmp_path / "entity_alias.parquet"))
+    spark.createDataFrame([(["猫", "狗"],)], "question_rough_cut array<string>").write.parquet(str(tmp_path / "qa.parquet"))
+    got = rows(q_synonyms(spark, str(tmp_path)).where("method = 'characters'").select("x", "y", "similarity"))
+    assert got == [("国短毛猫", "美国短毛猫", 0.8), ("国短毛猫", "英国短毛猫", 0.8), ("美国短毛猫", "英国短毛猫", 0.666667)]
+
+
 def test_within_edits(spark):
     r = np.random.default_rng(1)
     words = sorted({"".join(r.choice(list("abc"), r.integers(0, 9))) for _ in range(150)})
