@@ -35,11 +35,11 @@ def q_homophones(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """Best correction of each word from three sources: one other character, the same reading, a few edits."""
+    """Best correction of each word from three sources: one other character, the same reading, one edit."""
     from skein.operators.joins import within_edits
 
     w = _words(spark, d)
-    near = within_edits(w.where(F.length("word") >= 3), "word", 1)
+    near = within_edits(w, "word", 1)
     both = near.select(F.col("a").alias("word"), F.col("b").alias("candidate")).unionByName(near.select(F.col("b").alias("word"), F.col("a").alias("candidate"))).withColumn("score", F.lit(0.4))
     same = suggest.homophones(w, "word", spark.createDataFrame(READINGS, "ch string, reading string")).select("word", F.col("other").alias("candidate"), F.lit(0.6).alias("score"))
     return suggest.corrections([("mask", suggest.masked_candidates(w)), ("reading", same), ("edits", both)]).withColumn("score", F.round("score", 6))

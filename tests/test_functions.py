@@ -89,6 +89,14 @@ def test_synonyms_that_begin_differently(spark, tmp_path):
     assert got == [("国短毛猫", "美国短毛猫", 0.8), ("国短毛猫", "英国短毛猫", 0.8), ("美国短毛猫", "英国短毛猫", 0.666667)]
 
 
+def test_corrections_of_two_characters(spark, tmp_path):
+    from skein.plans.language_queries import q_corrections
+
+    spark.createDataFrame([(["口水", "流口水", "关节肿", "节肿"],)], "question_fine_cut array<string>").write.parquet(str(tmp_path / "qa.parquet"))
+    got = rows(q_corrections(spark, str(tmp_path)).select("word", "candidate"))
+    assert got == [("关节肿", "节肿"), ("口水", "流口水"), ("流口水", "口水"), ("节肿", "关节肿")]
+
+
 def test_within_edits(spark):
     r = np.random.default_rng(1)
     words = sorted({"".join(r.choice(list("abc"), r.integers(0, 9))) for _ in range(150)})
