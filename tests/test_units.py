@@ -38,13 +38,57 @@ def test_repeated_loads_and_empty_tables(spark):
 
 
 @pytest.mark.parametrize("seed", range(5))
-def test_cut_at_anchors_is_exact(seed):
-    """Decoding between anchors gives the same path as Viterbi over the whole chain."""
+def test_decoding_in_pieces_is_exact(seed):
+    """Stretches composed and decoded between their ends give a best path of the whole chain, wherever they are cut."""
     r = np.random.default_rng(seed)
-    e = r.normal(0, 4, (200, 4))
-    group = np.zeros(200, int)
-    state, anchor = units.decode_states(e, group)
-    whole = units.viterbi(e)
-    cost = lambda p: e[np.arange(200), p].sum() - units.SWITCH * (p[1:] != p[:-1]).sum()
-    assert anchor.any() and not anchor.all()
-    assert cost(state) == pytest.approx(cost(whole))
+    n, cost = 300, 2.0
+    e = r.normal(0, 3, (n, units.K))
+    cuts = np.r_[0, np.sort(r.choice(np.arange(1, n), 12, replace=False)), n]
+    start, size = cuts[:-1], np.diff(cuts)
+    m = units.transfer(e, start, size, np.full(len(start), cost))
+    ends = units.ends_of(m, cost)
+    path = units.viterbi(e, start, size, np.full(len(start), cost), ends)
+    best = e[0].copy()
+    for t in range(1, n):
+        best = np.maximum(best, best.max() - cost) + e[t]
+    assert e[np.arange(n), path].sum() - cost * (path[1:] != path[:-1]).sum() == pytest.approx(best.max())
+    whole = m[0]
+    for x in m[1:]:
+        whole = units.chained(whole, x, cost)
+    assert whole.max() == pytest.approx(best.max())
+
+
+def grams_in_silence(spark):
+    """A scale of grams of which nothing says so: most numbers are far off, small animals' numbers are not."""
+    numbers = ["4200", "3900", "400", "5100", "4700", "420", "6100", "5500", "380", "4800"]
+    kilos = ["6.1", "4.2", "30", "12", "420", "8.5", "41", "3.3", "5.0", "7.7"]
+    v = [(f"g{i}", "C", f"2021-01-{i + 1:02d} 00:00:00.0", w, None, None, None, None, "s") for i, w in enumerate(numbers)]
+    v += [(f"k{i}", "Z", f"2021-01-{i + 1:02d} 00:00:00.0", w, None, None, None, None, "s") for i, w in enumerate(kilos)]
+    return spark.createDataFrame(v, V), spark.createDataFrame([(o, n, "s") for o, n in NOTES], C), numbers
+
+
+def test_neighbours_give_the_unit(spark):
+    """Only the chain tells 420 among grams (0.42 kg) from 420 among kilograms; without it these readings are lost."""
+    v, c, numbers = grams_in_silence(spark)
+    got = dict((r[0], r[2]) for r in rows(units.converted(v, c)))
+    assert got == {f"g{i}": int(n) for i, n in enumerate(numbers)}
+    alone = {r[0] for r in rows(units.converted(v, c, costs={"pet_weight": 0.0, "temperatures": 0.0}))}
+    assert alone == {f"g{i}" for i, n in enumerate(numbers) if int(n) > 1000}
+
+
+def test_level_gives_the_unit(spark):
+    """At a scale of heavy animals 700 is a weight in kilograms; at the prior level it would be one in grams."""
+    known = [(f"h{i}", "C", f"2021-01-{i // 4 + 1:02d} 0{i % 4}:00:00.0", w, None, None, None, None, "s") for i, w in enumerate(["410kg", "530公斤", "480kg", "505kg"] * 10)]
+    v = spark.createDataFrame([*known, ("x", "C", "2021-01-05 12:00:00.0", "700", None, None, None, None, "s")], V)
+    c = spark.createDataFrame([(o, n, "s") for o, n in NOTES], C)
+    assert rows(units.converted(v, c)) == []
+    assert rows(units.converted(v, c, level=False)) == [("x", "pet_weight", 700)]
+
+
+def test_hot_day_and_order(spark, monkeypatch):
+    """A crowded day is cut by hour and id, blocks of few rows are decoded as one chain: unlabelled readings come out alike."""
+    v, c, numbers = grams_in_silence(spark)
+    monkeypatch.setattr(units, "STEP", 3)
+    want = rows(units.converted(v, c))
+    monkeypatch.setattr(units, "CROWDED", 0)
+    assert rows(units.converted(v, c)) == want
