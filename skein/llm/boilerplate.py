@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from skein.session import cut, small
 
 LEAST, SHARE = 5, 0.03
+#: Bitmaps (4 KB each) that may be broadcast.
+BITMAPS = 5_000
 _NO_SITE = "\x00"
 
 
@@ -49,21 +51,30 @@ def line_bitmaps(df: DataFrame, id: str, site: str, text: str, least: int = LEAS
     return united.join(small(passed), ["site", "h1", "h2"], "left_semi").select("site", "h1", "h2", "bucket", "bits")
 
 
-def _is_set(bits: str, position: str) -> Column:
+def _bit(bits: Column, position: Column) -> Column:
     """Is the bit of a document set in a bitmap?"""
-    byte = F.expr(f"cast(conv(hex(substring({bits}, cast({position} div 8 as int) + 1, 1)), 16, 10) as int)")
-    return byte.bitwiseAND(F.expr(f"shiftleft(1, cast({position} % 8 as int))")) != 0
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("long"), F.pmod(position, F.lit(8)).cast("int")) == 1
 
 
 def flagged(df: DataFrame, id: str, site: str, text: str, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """All lines of ``numbered_lines`` with ``repeated``."""
     lines = numbered_lines(df, id, site, text).withColumns({"bucket": F.bitmap_bucket_number("id"), "position": F.bitmap_bit_position("id")})
     bitmaps = line_bitmaps(df, id, site, text, least, share)
-    joined = lines.join(small(bitmaps, 20_000), ["site", "h1", "h2", "bucket"], "left")
-    return joined.select("id", "line_no", "raw", F.coalesce(_is_set("bits", "position"), F.lit(False)).alias("repeated"))
-
-
-def cleaned(df: DataFrame, id: str, site: str, text: str, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """(id, cleaned): the documents without the repeated lines of their site."""
-    kept = flagged(df, id, site, text, least, share).groupBy("id").agg(F.array_sort(F.collect_list(F.when(~F.col("repeated"), F.struct("line_no", "raw")))).alias("l"))
-    return df.select(F.col(id).alias("id")).join(kept.select("id", F.array_join(F.col("l.raw"), "\n").alias("cleaned")), "id", "left")
+    joined = lines.join(small(bitmaps, BITMAPS), ["site", "h1", "h2", "bucket"], "left")
+    return joined.select("id", "line_no", "raw", F.coalesce(_bit(F.col("bits"), F.col("position")), F.lit(False)).alias("repeated"))
+
+
+def cleaned(df: DataFrame, id: str, site: str, text: str, least: int = LEAST, share: float = SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, cleaned): the documents without the repeated lines of their site. Documents stay in their rows: the bitmaps of a site and bucket come to them."""
+    bitmaps = cut(line_bitmaps(df, id, site, text, least, share))
+    marks = bitmaps.groupBy(F.col("site").alias("_site"), F.col("bucket").alias("_bucket")).agg(F.collect_list(F.struct("h1", "h2", "bits")).alias("_marks"))
+    marks = F.broadcast(marks) if bitmaps.limit(BITMAPS + 1).count() <= BITMAPS else marks
+    rows = df.select(F.col(id).alias("id"), *keep, F.coalesce(site, F.lit(_NO_SITE)).alias("_site"), F.col(text).alias("_text"), F.bitmap_bucket_number(id).alias("_bucket"), F.bitmap_bit_position(id).alias("_position")).join(marks, ["_site", "_bucket"], "left")
+    strip = lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")
+    lines = F.transform(F.split("_text", "\n"), lambda x: F.struct(x.alias("raw"), F.xxhash64(strip(x)).alias("h1"), F.xxhash64(F.reverse(strip(x)), F.lit(5)).alias("h2")))
+    mine = F.transform(F.filter("_marks", lambda m: _bit(m["bits"], F.col("_position"))), lambda m: F.struct(m["h1"].alias("h1"), m["h2"].alias("h2")))
+    rows = rows.withColumns({"_lines": lines, "_mine": mine})
+    kept = F.filter("_lines", lambda x: ~F.array_contains("_mine", F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))))
+    whole = F.when(F.coalesce(F.size("_mine"), F.lit(0)) > 0, F.array_join(F.transform(kept, lambda x: x["raw"]), "\n")).otherwise(F.col("_text"))
+    return rows.select("id", *keep, whole.alias("cleaned"))

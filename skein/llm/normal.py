@@ -65,13 +65,15 @@ def repair(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return first.join(known, ["key", "field"], "left").mapInPandas(_second, f"key {kind}, field string, fixed string, hit boolean")
 
 
-def fixed_column(df: DataFrame, column: str) -> DataFrame:
-    """df with ``column`` folded to its consistent form for comparisons; only rows with suspicious characters go through Python."""
+def fixed_column(df: DataFrame, *columns: str) -> DataFrame:
+    """df with the columns folded to their consistent form for comparisons; only rows with suspicious characters go through Python."""
     ship(df.sparkSession)
-    suspicious: Column = F.coalesce(F.col(column).rlike(chars.SUSPICIOUS), F.lit(False))
+    suspicious: Column = F.lit(False)
+    for c in columns:
+        suspicious = suspicious | F.coalesce(F.col(c).rlike(chars.SUSPICIOUS), F.lit(False))
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.map(chars.folded, na_action="ignore")
 
-    return df.where(~suspicious).unionByName(df.where(suspicious).withColumn(column, fold(column)))
+    return df.where(~suspicious).unionByName(df.where(suspicious).withColumns({c: fold(c) for c in columns}))

@@ -6,33 +6,35 @@ What doesn't belong to an answer is taken off first: the lines its site repeats,
 * ``copy``: without its introduction, the canonical form of the answer is (a repetition of) the question's.
 * ``refusal``: some clause declines, and without declining and polite clauses nothing is left.
 * ``language``: question and answer are written in different languages, by script and, within the Latin script, by function words.
-* ``truncated``: the answer ends without a final mark, and its ending isn't one. All answers and sentences are sorted by
-  text; one that is a proper prefix of its neighbour is a shortened version. Lengths at which a site's unmarked answers
-  pile up are its length limit. Neither is needed for an ending that nowhere else closes a sentence, a list item or a
-  closing phrase. An ending that does so elsewhere is complete, unless it sits at a length limit. A closing phrase is vouched
-  for by other answers only, copies counted once, and only if at least as many of them end with it as go on after it. An
-  answer that stops at an open bracket, a comma, a colon or a bare list number is broken off.
-
-Endings are counted with map-side combining over all answers; the sort is by hash of the first characters, then within tasks,
-each of which looks only at two neighbours at a time. The cleaned pairs are read many times, so they are checkpointed.
+* ``truncated``: an answer without a final mark that is a shortened version of others. All responses and all their clauses
+  are sorted by text. What begins with a given text follows it side by side in this order, so the number of its
+  continuations is a difference of two running counts. An answer that another response continues inside a word or sentence
+  is broken off. So is one whose last clause goes on elsewhere (as a common prefix of other clauses, or up to a comma) more
+  often than it ends a sentence, a list item or, as a closing phrase, another answer. So is one whose length is a limit at
+  which its site's unmarked answers pile up, and one that stops at an open bracket, a comma, a conjunction or a bare list
+  number. A last clause that stands nowhere else, whole or longer, is judged by its last characters in the same way.
+
+An answer and its copies count once, so broken answers can't vouch for themselves. Clauses are counted with map-side
+combining; the sort is by range over distinct clauses and responses, markers for the answers in question are sorted among
+them, and tasks pass on running counts only. The cleaned pairs are read several times, so they are checkpointed.
 
 Edge cases: null or blank answer -> ``empty``; null question -> only ``empty``, ``refusal`` and ``truncated`` apply;
-repeated rows get the same defect; very long answers are cut into sentences; an empty table gives an empty result.
+repeated rows get the same defect; very long answers are cut into clauses; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from skein.llm import boilerplate
 from skein.llm.copies import canonical
 from skein.llm.normal import fixed_column
-from skein.session import cut, ship, small
+from skein.session import cut, small
 
 #: View counts, placeholders, introductions of a quoted question.
 COUNTS = r"(?:浏览量?[:：]?\s*\d+(?:\s*次)?|阅读(?:量)?[:：]?\s*\d+\s*次?|第\s*\d+\s*楼|\d+\s*(?:次浏览|人看过|views?)|views?[:：]?\s*\d+)"
@@ -55,7 +57,11 @@ FUNCTION_WORDS = {
     "es": "el la los las y es un una de del en con por para si no que se lo al su más hay días después cuando suele mejor cada o antes cuidado",
 }
 MARKS, OPEN = "。！？!?…~～.．」』”》）)】", "，,、：:；;（(「『“《【和与"
-NEAR, CLOSING, LONG_CLOSING, VOUCHERS = 2, 12, 40, 2
+#: Conjunctions, articles and prepositions that can't end a sentence.
+CONJUNCTIONS = r"因为|例如|比如|譬如|以及|由于|并且|而且|但是|或者|(?<![a-z'])(?:because|and|or|but|the|an?|with|of|to|for|such as|for example|e\.g)"
+ENDING, BREAK = "。！？!?…\n.", "，,、：:；;"
+CLOSING, LONG_CLOSING, VOUCHERS, TAIL = 12, 40, 2, 6
+_LAST = "\U0010ffff"
 
 
 def _among(words: list[str]):
@@ -85,60 +91,110 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
 
 
-def _closing(line: Column) -> Column:
-    """What is counted of a line that may be a closing phrase: the end of a short one, the whole of a longer one."""
-    return F.when(F.length(line) <= CLOSING, F.right(line, F.lit(4))).otherwise(line)
+def _closing(sentence: Column) -> Column:
+    """What is counted of a last sentence that may be a closing phrase: the end of a short one, the whole of a longer one."""
+    return F.when(F.length(sentence) <= CLOSING, F.right(sentence, F.lit(4))).otherwise(sentence)
 
 
-def closings(lines: DataFrame) -> DataFrame:
-    """(e4, closes): of (own, line), the endings of short unmarked lines that at least ``VOUCHERS`` other answers share, and no fewer than go on after it.
+def _pieces(a: Column) -> Column:
+    """The clauses of an answer, each with the mark, comma or line end behind it."""
+    return F.split(a, rf"(?<=[{ENDING[:-1]}{BREAK}])|(?<=\.)(?=\s|$)")
 
-    ``own`` is equal for copies of an answer, so an answer and its copies count once; the answer under test is one of those counted.
-    """
-    short = lines.where(~F.col("line").rlike(f"[{MARKS}]$") & F.length("line").between(4, LONG_CLOSING))
-    shared = cut(short.groupBy(_closing(F.col("line")).alias("e4")).agg(F.count_distinct("own").alias("closing")).where(F.col("closing") > VOUCHERS))
-    after = r"\s?[\p{L}\p{N}]"
-    grams = lines.select("own", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(f"(?s)(?=(.{{4}}){after})"), F.lit(1)))).alias("last"))
-    quoted = F.concat(F.lit(r"\Q"), F.replace("e4", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E{after}"))
-    inside = grams.join(small(shared.select("e4", F.right("e4", F.lit(4)).alias("last"))), "last").where((F.length("e4") == 4) | F.regexp_like("line", quoted))
-    inside = inside.groupBy("e4").agg(F.count_distinct("own").alias("inside"))
-    return shared.join(small(inside, settle=True), "e4", "left").where(F.col("closing") > F.coalesce("inside", F.lit(0))).select("e4", F.lit(True).alias("closes"))
+
+def _clause(piece: Column) -> Column:
+    """A piece without its mark, list number and outer spaces."""
+    return F.regexp_replace(piece, rf"^\s*(?:\d+[.．、)）])?\s*|[{ENDING}{BREAK}\s]+$", "")
+
+
+def _sentence(a: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(F.element_at(F.split(a, "\n"), -1), "[。！？!?]"), -1), r"^\s*(?:\d+[.．、)）])?\s*", "")
 
 
 def bare(df: DataFrame, id: str, site: str, question: str, answer: str) -> DataFrame:
     """(id, site, q, a): the pairs in consistent characters, the answer without site lines and view counts."""
     rows = df.select(F.col(id).alias("id"), F.col(site).alias("site"), F.col(question).alias("q"), F.col(answer).alias("a"))
-    rows = cut(fixed_column(cut(fixed_column(rows, "a")), "q"))
-    clean = boilerplate.cleaned(rows, "id", "site", "a")
+    rows = boilerplate.cleaned(cut(fixed_column(rows, "a", "q")), "id", "site", "a", keep=("site", "q"))
     lines = F.transform(F.split("cleaned", "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s\r]+", " ")))
     lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(f"^{COUNTS}$"))
-    return rows.select("id", "site", "q").join(clean, "id").select("id", "site", "q", F.regexp_replace(F.array_join(lines, "\n"), rf"\s*{COUNTS}$", "").alias("a"))
-
+    return rows.select("id", "site", "q", F.regexp_replace(F.array_join(lines, "\n"), rf"\s*{COUNTS}$", "").alias("a"))
 
-def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by piece: the unmarked ones that are a proper prefix of the next other piece."""
-    last, waiting = None, False
-    for pdf in frames:
-        found = []
-        for piece, loose in zip(pdf["piece"], pdf["loose"], strict=True):
-            if piece != last:
-                if waiting and piece.startswith(last):
-                    found.append(last)
-                last, waiting = piece, False
-            waiting = waiting or bool(loose)
-        if found:
-            yield pd.DataFrame({"piece": found})
 
+def clauses(one: DataFrame) -> DataFrame:
+    """(clause, final, on): of (a), one row per distinct answer, how often a clause ends a sentence or an item, and how often only a comma follows. What stands at an answer's end without a mark isn't counted."""
+    pieces = one.select(F.explode(_pieces(F.col("a"))).alias("p"))
+    last = F.right("p", F.lit(1))
+    ends, goes = F.instr(F.lit(ENDING), last) > 0, F.instr(F.lit(BREAK), last) > 0
+    p = pieces.where((F.length("p") > 1) & (ends | goes)).select(_clause(F.col("p")).alias("clause"), ends.cast("int").alias("ends")).where("clause <> ''")
+    return p.groupBy("clause").agg(F.sum("ends").alias("final"), F.sum(1 - F.col("ends")).alias("on"))
 
-def shortened(pieces: DataFrame) -> DataFrame:
-    """(piece): of (piece, loose), the loose pieces that are a proper prefix of another piece: its next neighbour in sorted order."""
-    rows = pieces.where(F.length("piece") >= NEAR).groupBy("piece").agg(F.max("loose").alias("loose"))
-    return rows.repartition(F.substring("piece", 1, NEAR)).sortWithinPartitions("piece").mapInPandas(_neighbours, "piece string")
 
+def continued(items: DataFrame, asked: DataFrame) -> DataFrame:
+    """(kind, text, more): of items (kind, key, weight), the weight of those whose key lies in the range asked for: after ``low`` and before ``high``.
 
-def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> DataFrame:
-    """(id, defect): the defective pairs."""
-    ship(df.sparkSession)
+    Items and range ends are sorted together by range; each task emits its running count at the range ends and its total.
+    """
+    marks = asked.select("kind", "text", F.inline(F.array(F.struct(F.col("low").alias("key"), F.lit(-1).alias("sign")), F.struct(F.col("high").alias("key"), F.lit(1).alias("sign")))))
+    empty = F.lit(None).cast("string")
+    rows = items.select("kind", "key", "weight", F.lit(0).alias("sign"), empty.alias("text")).unionByName(marks.select("kind", "key", F.lit(0).cast("long").alias("weight"), "sign", "text"))
+    rows = rows.repartitionByRange("kind", "key").sortWithinPartitions("kind", "key").select("kind", "text", "weight", "sign", F.spark_partition_id().alias("part"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, part = 0, -1
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            part = int(pdf["part"].iloc[0])
+            here = total + pdf["weight"].cumsum()
+            total = int(here.iloc[-1])
+            at = pdf["sign"].to_numpy() != 0
+            if at.any():
+                yield pd.DataFrame({"kind": pdf["kind"][at], "text": pdf["text"][at], "part": part, "sign": pdf["sign"][at], "n": here[at]})
+        if part >= 0:
+            yield pd.DataFrame({"kind": [None], "text": [None], "part": [part], "sign": [0], "n": [total]})
+
+    counted = cut(rows.mapInPandas(run, "kind string, text string, part int, sign int, n long"))
+    totals = counted.where("sign = 0").select("part", "n")  # one row per task
+    before = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    at = counted.where("sign <> 0").join(F.broadcast(before), "part")
+    return at.groupBy("kind", "text").agg(F.sum(F.col("sign") * (F.col("n") + F.col("before"))).alias("more"))
+
+
+def broken(one: DataFrame, loose: DataFrame, shortened: bool = True) -> DataFrame:
+    """(a): the answers of loose (own, a), which end without a mark, that are broken off; ``one`` has every distinct answer.
+
+    ``shortened`` False leaves out what comes from the sorted order, for comparison.
+    """
+    known = cut(clauses(one))
+    asked = cut(loose.select("own", "a", _clause(F.element_at(_pieces(F.col("a")), -1)).alias("clause"), _sentence(F.col("a")).alias("s")).withColumns({"key": _closing(F.col("s")), "tail": F.right("clause", F.lit(TAIL))}))
+    # in this form marks, commas and spaces come before all letters, so a continuation by a letter is a range of its own
+    flat = lambda c: F.translate(F.col(c), f"{ENDING}{BREAK} ", "\x01" * (len(ENDING) + len(BREAK) + 1))
+    items = known.select(F.lit("clause").alias("kind"), F.col("clause").alias("key"), (F.col("final") + F.col("on")).alias("weight"))
+    items = items.unionByName(one.select(F.lit("whole").alias("kind"), flat("a").alias("key"), F.lit(1).cast("long").alias("weight")))
+    ranges = asked.select("clause").distinct().select(F.lit("clause").alias("kind"), F.col("clause").alias("text"), F.concat("clause", F.lit("\x00")).alias("low"), F.concat("clause", F.lit(_LAST)).alias("high"))
+    ranges = ranges.unionByName(asked.select("a").distinct().select(F.lit("whole").alias("kind"), F.col("a").alias("text"), F.concat(flat("a"), F.lit("\x03")).alias("low"), F.concat(flat("a"), F.lit(_LAST)).alias("high")))
+    more = continued(items, ranges) if shortened else ranges.select("kind", "text", F.lit(0).cast("long").alias("more"))
+    more = cut(more.where("more > 0"))
+    # closing phrases, and how often their last characters go on inside a clause
+    short = asked.where(F.length("s").between(2, LONG_CLOSING))
+    closing = cut(short.groupBy("key").agg(F.count_distinct("own").alias("closing")).where(F.col("closing") > VOUCHERS))
+    grams = known.select((F.col("final") + F.col("on")).alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("clause") - 4, F.lit(1))), lambda i: F.substring("clause", i, F.lit(4))))).alias("key")).where("length(key) = 4")
+    inside = grams.join(small(closing.where("length(key) = 4").select("key")), "key").groupBy("key").agg(F.sum("n").alias("inside"))
+    tails = known.select(F.right("clause", F.lit(TAIL)).alias("tail"), "final", "on").join(small(asked.select("tail").distinct()), "tail").groupBy("tail").agg(F.sum("final").alias("final6"), F.sum("on").alias("on6"))
+    mine = known.join(small(asked.select("clause").distinct()), "clause", "left_semi")
+    j = asked.join(small(mine), "clause", "left").join(small(more.where("kind = 'clause'").select(F.col("text").alias("clause"), F.col("more").alias("longer"))), "clause", "left")
+    j = j.join(small(more.where("kind = 'whole'").select(F.col("text").alias("a"), F.lit(True).alias("shortened"))), "a", "left")
+    j = j.join(small(closing), "key", "left").join(small(inside, settle=True), "key", "left").join(small(tails, settle=True), "tail", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    closes = F.when((zero("closing") > zero("inside")) & (F.length("s") <= LONG_CLOSING), zero("closing")).otherwise(0)
+    ends, goes = zero("final") + closes, zero("on") + zero("longer")
+    by_tail = (zero("final6") < 2) | (zero("on6") > zero("final6"))
+    odd = F.col("a").rlike(r"[^\p{L}\p{N}\p{P}\s]$")  # an emoji or a sign closes what it stands behind
+    off = F.coalesce("shortened", F.lit(False)) | F.when(ends + goes > 0, goes > ends).otherwise(by_tail & ~odd)
+    return j.where(off).select("a").distinct()
+
+
+def defects(df: DataFrame, id: str, site: str, question: str, answer: str, shortened: bool = True, limits: bool = True) -> DataFrame:
+    """(id, defect): the defective pairs. ``shortened`` and ``limits`` False switch off the sorted order and the length limits, for comparison."""
     rows = bare(df, id, site, question, answer)
     lead = f"^(?:{INTRODUCTIONS})+(?=.)"
     rows = rows.withColumn("a", F.coalesce("a", F.lit(""))).withColumn("text", F.regexp_replace("a", r"<[^>]*>|&[a-z]+;", " "))
@@ -154,34 +210,16 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str) -> Da
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(foreign, "language")
     rows = cut(rows.select("id", "site", "a", F.xxhash64("ca").alias("own"), kind.alias("kind")))
 
+    sound = rows.where("kind is null")
     final = F.element_at(F.split("a", "\n"), -1)
     number = final.rlike(r"^\s*(?:\d+|[一二三四五六七八九十])\s*[.．、)）:：]?\s*$")
-    marked = F.col("a").rlike(f"[{MARKS}]$") & ~number
-    loose = rows.where("kind is null").where(~marked).select("id", "site", "a", F.length("a").alias("n"), final.alias("final"), (number | F.col("a").rlike(f"[{OPEN}]$")).alias("open"))
-    loose = loose.withColumns({"piece": F.regexp_replace(F.element_at(F.split("final", "[。！？!?]"), -1), r"^\s*\d+[.．、)）]\s*", ""), "e6": F.right("a", F.lit(6)), "e5": F.right("a", F.lit(5)), "e4": _closing(F.col("final")), "short": F.length("final") <= LONG_CLOSING})
-
-    sound = rows.where("kind is null")
-    lines = sound.select("own", F.explode(F.split("a", "\n")).alias("line"))
-    ends = [lines.select(F.explode(F.regexp_extract_all("line", F.lit(p), F.lit(1))).alias("end"), F.lit("mark").alias("how")) for p in (r"([^。！？!?]{6})[。！？!?]", r"([^.]{6})\.(?=\s|$)")]
-    ends.append(lines.select(F.explode(F.regexp_extract_all("line", F.lit(r"([^。！？!?]{5})[。！？!?]"), F.lit(1))).alias("end"), F.lit("near").alias("how")))
-    # an item of a list ends at a line end; the last line of an answer tells nothing, as all broken answers have one
-    items = sound.select(F.explode(F.slice(F.split("a", "\n"), F.lit(1), F.size(F.split("a", "\n")) - 1)).alias("line"))
-    unmarked = lambda x: ~x.rlike(f"[{MARKS}]$")
-    ends.append(items.where(unmarked(F.col("line")) & (F.length("line") >= 6)).select(F.right("line", F.lit(6)).alias("end"), F.lit("line").alias("how")))
-    counted = cut(reduce(DataFrame.unionByName, ends).groupBy("end").pivot("how", ["mark", "line", "near"]).agg(F.count(F.lit(1))))
-    e5 = counted.where("near > 0").select(F.col("end").alias("e5"), "near")
-    e6, e4 = counted.select(F.col("end").alias("e6"), "mark", "line"), closings(lines)
-
-    sentences = lines.select(F.explode(F.split("line", "[。！？!?]")).alias("piece")).select(F.regexp_replace("piece", r"^\s*\d+[.．、)）]\s*", "").alias("piece"), F.lit(False).alias("loose"))
-    prefix = shortened(loose.select("piece", F.lit(True).alias("loose")).unionByName(sentences)).distinct().withColumn("cut", F.lit(True))
-    limits = loose.groupBy("site", "n").agg(F.count_distinct("a").alias("here"))
-    around = limits.alias("x").join(limits.groupBy("site").agg(F.sum("here").alias("all"), F.count(F.lit(1)).alias("lengths")).alias("y"), F.col("x.site").eqNullSafe(F.col("y.site")))
-    limits = around.where("here >= 8 and here > 10 * all / lengths").select(F.col("x.site").alias("site_"), F.col("n").alias("n_"), F.lit(True).alias("limit"))
-
-    j = loose.join(small(e6), "e6", "left").join(small(e5), "e5", "left").join(small(e4), "e4", "left").join(small(prefix, settle=True), "piece", "left")
-    j = j.join(small(limits, settle=True), F.col("site").eqNullSafe(F.col("site_")) & (F.col("n") == F.col("n_")), "left")
-    has = lambda c, n: F.coalesce(F.col(c) >= n, F.lit(False))
-    complete = has("mark", 2) | has("near", 3) | has("line", 3) | (F.col("short") & F.col("closes").isNotNull() & F.col("cut").isNull())
-    odd_end = F.col("a").rlike(r"[^\p{L}\p{N}\p{P}\s]$")
-    truncated = F.col("open") | F.coalesce("limit", F.lit(False)) | (~complete & ~odd_end)
-    return rows.where("kind is not null").select("id", F.col("kind").alias("defect")).unionByName(j.where(truncated).select("id", F.lit("truncated").alias("defect")))
+    loose = sound.where(~F.col("a").rlike(f"[{MARKS}]$") | number).select("id", "site", "a", "own", F.length("a").alias("n"), (number | F.col("a").rlike(f"[{OPEN}]$|(?i:{CONJUNCTIONS})$")).alias("open"))
+    loose = cut(loose)
+    one = cut(sound.groupBy("own").agg(F.min("a").alias("a")).select("a"))
+    off = cut(broken(one, loose.where("not open").select("own", "a").distinct(), shortened)).withColumn("off", F.lit(True))
+    here = loose.groupBy("site", "n").agg(F.count_distinct("a").alias("here"))
+    around = here.alias("x").join(here.groupBy("site").agg(F.sum("here").alias("all"), F.count(F.lit(1)).alias("lengths")).alias("y"), F.col("x.site").eqNullSafe(F.col("y.site")))
+    spikes = around.where("here >= 8 and here > 10 * all / lengths" if limits else "false").select(F.col("x.site").alias("site_"), F.col("n").alias("n_"), F.lit(True).alias("limit"))
+    j = loose.join(small(off), "a", "left").join(small(spikes, settle=True), F.col("site").eqNullSafe(F.col("site_")) & (F.col("n") == F.col("n_")), "left")
+    truncated = j.where("open or off or limit").select("id", F.lit("truncated").alias("defect"))
+    return rows.where("kind is not null").select("id", F.col("kind").alias("defect")).unionByName(truncated)

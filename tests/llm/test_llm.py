@@ -117,16 +117,35 @@ def test_broken_answers_do_not_vouch_for_themselves(spark):
     assert got == dict.fromkeys([20, 21, 22, 30, 50, 51, 52, 60, 61, 62], "truncated")
 
 
-def test_closings_against_brute_force(spark):
-    texts = ["祝早日康复", "祝团子早日康复\n早日康复的例子", "早日康复", "请先观察", "请先观察半天", "先观察 x", "再请先观察", r"一句很长很长的结尾\E在这里没有", r"一句很长很长的结尾\E在这里没有", r"一句很长很长的结尾\E在这里没有", r"一句很长很长的结尾\E在这里没有人"]
-    df = spark.createDataFrame([(i, x) for i, t in enumerate(texts) for x in t.split("\n")], "own long, line string")
-    assert rows(pairs.closings(df)) == [(r"一句很长很长的结尾\E在这里没有", True), ("早日康复", True)]
-    assert pairs.closings(df.where("own in (0, 1)").unionByName(df.where("own = 1"))).count() == 0
-
-
-def test_shortened_versions(spark):
-    df = spark.createDataFrame([("abcdefghij", True), ("abcdefghijkl", False), ("abcdefghijkl", True), ("zzzzzzzzz", True), ("short", True), ("shorter", False)], "piece string, loose boolean")
-    assert rows(pairs.shortened(df)) == [("abcdefghij",), ("short",)]
+def test_continuations_against_brute_force(spark):
+    """Running counts in the sorted order give, for each text, how many items begin with it, wherever tasks begin and end."""
+    r = np.random.default_rng(3)
+    words = sorted({"".join(r.choice(list("甲乙b"), r.integers(1, 7))) for _ in range(300)})
+    items = spark.createDataFrame([("clause", w, i % 3 + 1) for i, w in enumerate(words)], "kind string, key string, weight long")
+    asked = spark.createDataFrame([("clause", w, w + "\x00", w + "\U0010ffff") for w in [*words[::5], "没有"]], "kind string, text string, low string, high string")
+    got = {t: n for _, t, n in rows(pairs.continued(items, asked))}
+    assert got == {w: sum(i % 3 + 1 for i, x in enumerate(words) if x.startswith(w) and x != w) for w in [*words[::5], "没有"]}
+
+
+def test_clauses(spark):
+    df = spark.createDataFrame([("先禁食，再喂。\n1. 多喝水\n祝好",), ("再喂。wait, then feed. ok",), ("",)], "a string")
+    assert rows(pairs.clauses(df)) == [("then feed", 1, 0), ("wait", 0, 1), ("先禁食", 0, 1), ("再喂", 2, 0), ("多喝水", 1, 0)]
+
+
+def test_sorted_order_and_limits_decide(spark):
+    """Shortened versions are found by what follows them in the sorted order, and by their site's length limit; not without."""
+    whole = [f"第{i}次来院以后先观察三天再复诊。回家之后请把耳道里面的毛先剪掉再上药，动作轻一些。" for i in range(12)]
+    ends = [f"给第{i}只猫剪毛以后请把耳道里面的毛先剪掉。" for i in range(4)]  # the same last characters end sentences
+    data = [(i, "s", "怎么办呢医生", a) for i, a in enumerate(whole + ends)]
+    data += [(100, "s", "怎么办呢医生", whole[3][: whole[3].index("先剪掉") + 3])]
+    limit = [f"{chr(0x4E00 + 97 * i)}先擦干净再喂药然后每天换水换垫子" for i in range(30)]
+    data += [(200 + i, "t", "怎么办呢医生", a) for i, a in enumerate(limit)]
+    data += [(300 + i, "t", "怎么办呢医生", f"{'多' * (i + 1)}晒{chr(0x5E00 + 91 * i)}太阳然后每天换水换垫子。\n{'多' * (i + 1)}晒{chr(0x5E00 + 91 * i)}太阳然后每天换水换垫子") for i in range(30)]
+    df = spark.createDataFrame(data, "k long, s string, q string, a string")
+    got = {k for k, d in rows(pairs.defects(df, "k", "s", "q", "a")) if d == "truncated"}
+    assert got == {100, *range(200, 230)}
+    assert 100 not in {k for k, d in rows(pairs.defects(df, "k", "s", "q", "a", shortened=False)) if d == "truncated"}
+    assert {k for k, d in rows(pairs.defects(df, "k", "s", "q", "a", limits=False)) if d == "truncated"} == {100}
 
 
 # ---- personal information
