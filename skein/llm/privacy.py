@@ -1,18 +1,23 @@
-"""Personal information inside free text: a skip-chain conditional random field over candidate spans.
+"""Personal information inside free text: a skip-chain conditional random field over tokens.
 
-A document is one row with all its text fields. Candidate spans come from patterns (e-mail, phone, identity number,
-address, name); each is a binary node whose potential is a log-linear sum of features: form, cue words before and behind,
-validity of a date, a known family name, the row's pet name. Neighbouring nodes are linked weakly; nodes of a document with
-the same or a similar surface, however many and however far apart, are linked strongly to one shared label node, and every
-further occurrence of a name that has a cue somewhere becomes a node too. A repeat without evidence of its own is neutral.
-Loopy belief propagation, run for all documents of an Arrow batch at once in numpy until the messages settle, spreads the
-evidence; spans with belief above one half are replaced by a typed placeholder, all else stays as it was.
+A document is one row with all its text fields. Patterns for e-mail addresses, phone and identity numbers, addresses and
+names propose where an item might stand; the tokens there (words, runs of digits, single Han characters, signs) are the
+nodes, their labels are the five kinds or none. A token's potential for a kind is that of the best proposal which covers it:
+a sum of feature weights for its form, the words before and behind, a known family name, the row's pet name. Neighbouring
+tokens share a potential for equal labels. So do distant ones: all proposals of a document with the same text, in whatever
+width, case or separators and however many, are tied token by token to shared label nodes, and every further occurrence of
+a name that has a cue somewhere becomes a proposal too. Loopy message passing, run for all documents of a batch at once in
+numpy until the messages settle, gives the beliefs. A proposal all of whose tokens believe in its kind is replaced by a
+typed placeholder; all else stays as it was.
 
-The potentials are set by hand: no labelled rows exist for this problem. Rows without any character sequence that could
-start a candidate are passed over in the JVM.
+The potentials are learned. No labelled rows exist, so labels are bootstrapped: on at most ``SAMPLE`` visits (the smallest
+hashes of their ids; a documented bound) the set weights label what they're sure of either way. The weights are fitted to
+these labels with a penalty that draws them to the set ones, the two coupling potentials are the log-odds of agreement
+between neighbours and between repeats. Rows without any character sequence that could start a proposal are passed over in
+the JVM.
 
-Edge cases: null and blank texts have no items; full-width letters and digits count as ordinary ones; overlapping spans: the
-one with the higher belief wins, then the longer; repeated rows give the same result; very long texts are one document;
+Edge cases: null and blank texts have no items; full-width letters and digits count as ordinary ones; overlapping items: the
+longer wins, then the one with the higher belief; repeated rows give the same result; very long texts are one document;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -29,9 +34,13 @@ from pyspark.sql import functions as F
 from skein.session import ship
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-CHAIN, SKIP = 0.2, 2.5
+#: Visits from which the weights are learned; scores from which the set weights are sure; steps, rate and penalty of the fit.
+SAMPLE, SURE, STEPS, RATE, PENALTY = 40_000, (2.0, -1.0), 200, 0.05, 0.01
+#: Agreement of neighbours and of repeats before any is seen (agreeing, all), and bounds of the learned couplings.
+AGREE, COUPLING = ((9.0, 10.0), (11.0, 12.0)), ((0.2, 1.5), (1.0, 4.0))
+OTHER, NEVER = len(KINDS), -12.0
 #: Messages have settled when none changes by more; the rounds are only a guard against an oscillation.
-SETTLED, ROUNDS = 1e-6, 10_000
+SETTLED, ROUNDS = 1e-4, 1_000
 
 #: Family names (common ones, by frequency, and compound ones).
 SURNAMES = (
@@ -93,10 +102,11 @@ _NOT_GIVEN = re.compile("医生|医院|先生|女士|电话|主人|家属|店员
 
 #: For Spark: could a row hold any candidate?
 GATE = (
-    r"[@＠]|(?i:[(\[{<]at[)\]}>]| at [a-z0-9-]+\s?(?:\.|[(\[{]| dot ))|[0-9０-９](?:[ .()（）－-]{0,2}[0-9０-９XxＸｘ]){6}|[零〇一二三四五六七八九幺](?:[ -]?[零〇一二三四五六七八九幺]){9}"
+    r"[@＠]|(?i:[(\[{<（［｛＜][aａ][tｔ]| at [a-z0-9-]+\s?(?:\.|[(\[{]| dot ))|[0-9０-９](?:[ .()（）－-]{0,2}[0-9０-９XxＸｘ]){6}|[零〇一二三四五六七八九幺](?:[ -]?[零〇一二三四五六七八九幺]){9}"
     r"|(?i:passport|permit|travel document)|护照|通行证|回乡证|台胞证|居住证|[路街巷弄道同]\s?(?:之\s?)?[0-9０-９一二三四五六七八九十百零]|[0-9０-９]\s?(?:号楼|栋|幢|座|单元)|[-－][0-9０-９]+[-－][0-9０-９]"
     r"|[0-9][A-Za-z]?,? [A-Z][a-z]+ |Flat |Apt |Unit |联系人|签字|签名|姓名|(?i:owner|contact)|登记人|家长|转告|告知|通知|提醒|嘱|已[与同和]|[与和].{2,20}(?:电话|微信|沟通|联系|确认|核实|商量)|由.{2,20}(?:代|陪同|送|领走|接走|签收)"
-    r"|(?:主人|宠主|饲主|家属|客户).{2,24}?(?:陈述|表示|要求|反映|自述|称|诉|说|来电|致电|确认|代|签|同意)|先生|女士|小姐|太太|大夫|医师|医生|(?:^|[^一-鿿])[一-鿿]{2,4}(?:说|称|要求|来电|陈述|致电|签字|同意|代领|送诊)|[A-Z][a-z]+ [A-Z][a-z]+"
+    r"|(?:主人|宠主|饲主|家属|客户).{2,24}?(?:陈述|表示|要求|反映|自述|称|诉|说|来电|致电|确认|代|签|同意)|先生|女士|小姐|太太|大夫|医师|医生|(?:^|[^一-鿿])[一-鿿]{2,4}(?:说|称|要求|来电|陈述|致电|签字|同意|代领|送诊)|[A-Z][a-zà-ÿ'\-]+ [A-Z][a-zà-ÿ'\-]"
+    rf"|(?:主人|宠主|饲主|家属|客户)\s?(?:[{SURNAMES}{''.join(sorted({x[0] for x in COMPOUND}))}]|[A-Z])|{_ESTATE}\s?[0-9０-９]"
 )
 
 
@@ -104,128 +114,241 @@ def _known_family(s: str) -> bool:
     return len(s) > 1 and ((s[:2] in COMPOUND and len(s) > 2) or (s[0] in SURNAMES and s not in COMPOUND))
 
 
-def candidates(text: str, pets: set[str]) -> list[tuple[int, int, int, float, float]]:
-    """(begin, end, kind, potential, context) of the candidate spans of one text in ordinary width; context is the part of the potential that doesn't come from the span's own form."""
-    out: list[tuple[int, int, int, float, float]] = []
+#: The weights at the start, by feature: forms (numbered as the patterns above), words around, and what the span itself is.
+WEIGHTS = {
+    "email": 4.0, "cue": 3.0, "goods": -6.0, "mail": -3.0, "known family": 1.5, "three signs": -1.0, "other length": -3.0, "pet": -6.0, "no name": -6.0, "family only": -6.0,
+    **{f"phone {i}": w for i, (_, w) in enumerate(_PHONES)}, **{f"id {i}": w for i, (_, w) in enumerate(_IDS)}, **{f"address {i}": w for i, (_, w) in enumerate(_ADDRESSES)}, **{f"name {i}": w for i, (_, w) in enumerate(_CUES)},
+}
+_TOKEN = re.compile(rf"[A-Za-zÀ-ɏ]+|\d+|[{_H}]|\S")
+Span = tuple[int, int, int]
+
+
+class Potentials:
+    """Feature weights and the couplings of neighbours and of repeats."""
+
+    def __init__(self, weights: dict[str, float] | None = None, chain: float = 1.0, skip: float = 2.4) -> None:
+        self.weights, self.chain, self.skip = weights or WEIGHTS, chain, skip
+
+    def score(self, features: tuple[str, ...]) -> float:
+        return sum(self.weights[f] for f in features)
+
+
+def candidates(text: str, pets: set[str]) -> list[tuple[int, int, int, tuple[str, ...], bool]]:
+    """(begin, end, kind, features, context) of the proposals for one text in ordinary width; context says whether any feature comes from the words around."""
+    out: list[tuple[int, int, int, tuple[str, ...], bool]] = []
     if "@" in text or "at" in text:
-        out += [(m.start(), m.end(), 0, 4.0, 0.0) for m in _EMAIL.finditer(text)]
+        out += [(m.start(), m.end(), 0, ("email",), False) for m in _EMAIL.finditer(text)]
     if any(c.isdigit() for c in text) or "幺" in text or "一" in text:
-        for pattern, base in _PHONES:
-            for m in pattern.finditer(text):
-                before = text[max(0, m.start() - 14) : m.start()]
-                context = 3.0 * bool(_PHONE_CUE.search(before)) - 6.0 * bool(_GOODS.search(before)) - 3.0 * bool(text[m.end() : m.end() + 1] == "@" or text[m.end() : m.end() + 2] == " @")
-                out.append((m.start(), m.end(), 1, base + context, context))
-        for pattern, base in _IDS:
-            for m in pattern.finditer(text):
-                before = text[max(0, m.start() - 14) : m.start()]
-                context = 3.0 * bool(_ID_CUE.search(before)) - 6.0 * bool(_GOODS.search(before))
-                out.append((m.start(), m.end(), 2, base + context, context))
-        for pattern, base in _ADDRESSES:
+        for kind, name, patterns, cue in ((1, "phone", _PHONES, _PHONE_CUE), (2, "id", _IDS, _ID_CUE)):
+            for n, (pattern, _) in enumerate(patterns):
+                for m in pattern.finditer(text):
+                    before = text[max(0, m.start() - 14) : m.start()]
+                    around = ("cue",) * bool(cue.search(before)) + ("goods",) * bool(_GOODS.search(before))
+                    if kind == 1 and text[m.end() : m.end() + 2].lstrip(" ")[:1] == "@":
+                        around += ("mail",)
+                    out.append((m.start(), m.end(), kind, (f"{name} {n}", *around), bool(around)))
+        for n, (pattern, _) in enumerate(_ADDRESSES):
             for m in pattern.finditer(text):
                 verb = _VERB.match(m[0])
-                out.append((m.start() + (verb.end() if verb else 0), m.start() + len(m[0].rstrip()), 3, base, 0.0))
-    for pattern, base in _CUES:
+                out.append((m.start() + (verb.end() if verb else 0), m.start() + len(m[0].rstrip()), 3, (f"address {n}",), False))
+    for n, (pattern, _) in enumerate(_CUES):
         for m in pattern.finditer(text):
             s = m[1]
-            family = s[0] < "　" or _known_family(s)
-            out.append((m.start(1), m.end(1), 4, base + (1.5 if family else -1.0 if len(s) == 3 else -3.0) - 6.0 * (s in pets) - 6.0 * bool(_NOT_GIVEN.search(s)) - 6.0 * (s in COMPOUND), base))
+            form = "known family" if s[0] < "　" or _known_family(s) else "three signs" if len(s) == 3 else "other length"
+            out.append((m.start(1), m.end(1), 4, (f"name {n}", form) + ("pet",) * (s in pets) + ("no name",) * bool(_NOT_GIVEN.search(s)) + ("family only",) * (s in COMPOUND), True))
     return out
 
 
 def believe(theta: np.ndarray, a: np.ndarray, b: np.ndarray, j: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Log-odds of the nodes after loopy message passing; edge k links a[k] and b[k] with the potential j[k] for equal labels."""
+    """Log-beliefs [nodes, labels] after loopy message passing; edge k links a[k] and b[k] with the potential j[k] for equal labels."""
     if not len(a):
         return theta
-    source, target, couple = np.r_[a, b], np.r_[b, a], np.tanh(np.r_[j, j] / 2)
+    source, target = np.r_[a, b], np.r_[b, a]
+    more = np.expm1(np.r_[j, j])[:, None]
     back = np.r_[np.arange(len(a)) + len(a), np.arange(len(a))]
-    message = np.zeros(len(source))
+    order = np.argsort(target, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(target[order]) > 0])
+    into = target[order][heads]
+    message = np.zeros((len(source), theta.shape[1]))
+    total = theta
     for _ in range(rounds):
-        total = theta + np.bincount(target, message, minlength=len(theta))
-        last, message = message, 2 * np.arctanh(np.clip(couple * np.tanh(np.clip(total[source] - message[back], -30, 30) / 2), -1 + 1e-12, 1 - 1e-12))
-        if np.abs(message - last).max() <= SETTLED:
+        x = total[source] - message[back]
+        x = np.exp(x - x.max(1, keepdims=True))
+        new = np.log(more * x + x.sum(1, keepdims=True))
+        new -= new.mean(1, keepdims=True)
+        moved = np.abs(new - message).max()
+        message = new
+        total = theta.copy()
+        total[into] += np.add.reduceat(message[order], heads)
+        if moved <= SETTLED:
             break
-    return theta + np.bincount(target, message, minlength=len(theta))
+    return total
+
+
+def proposals(texts: list[str], pets: set[str], p: Potentials) -> dict[tuple[int, int, int, int], tuple[float, tuple[str, ...], bool]]:
+    """(field, begin, end, kind) -> (score, features, context) of one document, repeats of cued names among them."""
+    nodes: dict[tuple[int, int, int, int], tuple[float, tuple[str, ...], bool]] = {}
+    for f, t in enumerate(texts):
+        for s, e, k, features, context in candidates(t, pets) if t else ():
+            key, new = (f, s, e, k), (p.score(features), features, context)
+            if key not in nodes or new[0] > nodes[key][0]:
+                nodes[key] = new
+    for name in {texts[f][s:e] for (f, s, e, k), (w, _, _) in nodes.items() if k == 4 and w > 0}:
+        for f, t in enumerate(texts):
+            at = t.find(name)
+            while at >= 0:
+                nodes.setdefault((f, at, at + len(name), 4), (0.0, (), False))
+                at = t.find(name, at + 1)
+    return nodes
+
+
+def _surface(text: str) -> str:
+    return re.sub(r"[\W_]+", "", text).lower()
+
 
+def _repeats(texts: list[str], nodes: dict) -> list[list[tuple[int, int, int, int]]]:
+    """The proposals of one kind with the same text, of which there are several."""
+    same: dict[tuple[int, str], list[tuple[int, int, int, int]]] = {}
+    for key in nodes:
+        same.setdefault((key[3], _surface(texts[key[0]][key[1] : key[2]])), []).append(key)
+    return [g for g in same.values() if len(g) > 1]
 
-def label(rows: list[list[str | None]], pets: list[set[str]]) -> list[list[list[tuple[int, int, int]]]]:
+
+def label(rows: list[list[str | None]], pets: list[set[str]], p: Potentials | None = None) -> list[list[list[Span]]]:
     """For each row and field the accepted spans (begin, end, kind)."""
-    theta, kind, where, a, b, j = [], [], [], [], [], []
+    p = p or Potentials()
+    theta: list[list[float]] = []
+    a, b, j, spans = [], [], [], []
     for r, fields in enumerate(rows):
         texts = [t.translate(_WIDE) if t else "" for t in fields]
-        nodes: dict[tuple[int, int, int, int], tuple[float, float]] = {}
-        for f, t in enumerate(texts):
-            for s, e, k, w, context in candidates(t, pets[r]) if t else ():
-                key = (f, s, e, k)
-                nodes[key] = max(nodes.get(key, (w, context)), (w, context))
+        nodes = proposals(texts, pets[r], p)
         if not nodes:
             continue
-        for name in {texts[f][s:e] for (f, s, e, k), (w, _) in nodes.items() if k == 4 and w > 0}:
-            for f, t in enumerate(texts):
-                at = t.find(name)
-                while at >= 0:
-                    nodes.setdefault((f, at, at + len(name), 4), (0.0, 0.0))
-                    at = t.find(name, at + 1)
-        first = len(theta)
-        keys = sorted(nodes)
-        same: dict[tuple[int, str], list[int]] = {}
-        for i, key in enumerate(keys):
-            f, s, e, k = key
-            theta.append(nodes[key][0])
-            kind.append(k)
-            where.append((r, f, s, e))
-            same.setdefault((k, re.sub(r"[\W_]+", "", texts[f][s:e]).lower()), []).append(first + i)
-            if i and keys[i - 1][0] == f and keys[i - 1][2] <= s:
-                a.append(first + i - 1)
-                b.append(first + i)
-                j.append(CHAIN)
-        for group in same.values():  # a label node of kind -1 links any number of equal spans with as many edges
-            if len(group) == 1:
-                continue
-            if any(theta[x] > 0 for x in group):  # the form of a repeat, which has no context of its own, speaks once, at the spans with evidence
+        groups = _repeats(texts, nodes)
+        for group in groups:  # the form of a repeat, which has no context of its own, speaks once, at the spans with evidence
+            if any(nodes[x][0] > 0 for x in group):
                 for x in group:
-                    if theta[x] < 0 and not nodes[keys[x - first]][1]:
-                        theta[x] = 0.0
-            a += [len(theta)] * len(group)
-            b += group
-            j += [SKIP] * len(group)
-            theta.append(0.0)
-            kind.append(-1)
-            where.append((r, -1, 0, 0))
-    belief = believe(np.array(theta), np.array(a, int), np.array(b, int), np.array(j)) if theta else np.zeros(0)
-    out: list[list[list[tuple[int, int, int]]]] = [[[] for _ in fields] for fields in rows]
+                    if nodes[x][0] < 0 and not nodes[x][2]:
+                        nodes[x] = (0.0, *nodes[x][1:])
+        token: dict[tuple[int, int], int] = {}
+        members: dict[tuple[int, int, int, int], list[int]] = {}
+        for key in sorted(nodes):
+            f, s, e, k = key
+            inside = members[key] = []
+            for m in _TOKEN.finditer(texts[f], s, e):
+                place = (f, m.start())
+                if place not in token:
+                    token[place] = len(theta)
+                    theta.append([NEVER] * OTHER + [0.0])
+                i = token[place]
+                theta[i][k] = max(theta[i][k], nodes[key][0])
+                inside.append(i)
+            spans.append((r, f, s, e, k, inside))
+            a += inside[:-1]
+            b += inside[1:]
+        j += [p.chain] * (len(a) - len(j))
+        for group in groups:
+            width = min(len(members[x]) for x in group)
+            first = len(theta)
+            theta += [[0.0] * (OTHER + 1) for _ in range(width)]
+            for x in group:
+                # token by token; where separators make the numbers of tokens differ, first to first
+                a += range(first, first + width)
+                b += members[x][:width]
+            j += [p.skip] * (len(a) - len(j))
+    out: list[list[list[Span]]] = [[[] for _ in fields] for fields in rows]
+    if not theta:
+        return out
+    edges = np.array([a, b], dtype=np.int64).reshape(2, -1)
+    edges, at = np.unique(np.sort(edges, axis=0), axis=1, return_index=True)
+    belief = believe(np.array(theta), edges[0], edges[1], np.array(j)[at] if len(j) else np.zeros(0))
+    best = np.partition(belief, OTHER - 1, axis=1)
+    margin = np.where(belief == best[:, -1:], belief - best[:, -2:-1], belief - best[:, -1:])
     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for i in sorted((i for i in np.flatnonzero(belief > 0) if kind[i] >= 0), key=lambda i: (kind[i], -(where[i][3] - where[i][2]), -belief[i])):
-        r, f, s, e = where[i]
-        spans = taken.setdefault((r, f), [])
-        if all(e <= x or s >= y for x, y in spans):
-            spans.append((s, e))
-            out[r][f].append((s, e, kind[i]))
+    sure = [(k, s - e, -float(margin[inside, k].min()), r, f, s, e) for r, f, s, e, k, inside in spans if inside and margin[inside, k].min() > 1e-9]
+    for k, _, _, r, f, s, e in sorted(sure):
+        over = taken.setdefault((r, f), [])
+        if all(e <= x or s >= y for x, y in over):
+            over.append((s, e))
+            out[r][f].append((s, e, k))
     return out
 
 
+def fit(rows: list[list[str | None]], pets: list[set[str]]) -> Potentials:
+    """Weights and couplings learned from what the set weights are sure of."""
+    start = Potentials()
+    names = {f: i for i, f in enumerate(WEIGHTS)}
+    where, what, y = [], [], []
+    agree = np.array(AGREE)
+    for fields, pet in zip(rows, pets, strict=True):
+        texts = [t.translate(_WIDE) if t else "" for t in fields]
+        nodes = proposals(texts, pet, start)
+        sure = {key: 1.0 if w >= SURE[0] else 0.0 for key, (w, features, _) in nodes.items() if features and (w >= SURE[0] or w <= SURE[1])}
+        for key, v in sure.items():
+            where += [len(y)] * len(nodes[key][1])
+            what += [names[f] for f in nodes[key][1]]
+            y.append(v)
+        # neighbours: tokens of one proposal agree; at its ends they don't, if it is one
+        n = sum(max(0, len(_TOKEN.findall(texts[f][s:e])) - 1) for f, s, e, _ in sure)
+        agree[0] += (n, n + sum(sure.values()))
+        for group in _repeats(texts, nodes):
+            v = [sure[x] for x in group if x in sure]
+            agree[1] += (sum(v[i] == v[0] for i in range(1, len(v))), max(0, len(v) - 1))
+    w0 = np.array([*WEIGHTS.values()])
+    w, r, c, t = w0.copy(), np.array(where, int), np.array(what, int), np.array(y)
+    m1, m2 = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, STEPS + 1 if len(t) else 1):
+        z = np.bincount(r, w[c], minlength=len(t))
+        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - t
+        g = np.bincount(c, e[r], minlength=len(w)) / len(t) + PENALTY * (w - w0)
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+        w -= RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)
+    q = np.clip(agree[:, 0] / agree[:, 1], 1e-6, 1 - 1e-6)
+    chain, skip = (float(np.clip(np.log(x / (1 - x)), *bound)) for x, bound in zip(q, COUPLING, strict=True))
+    return Potentials(dict(zip(WEIGHTS, w.tolist(), strict=True)), chain, skip)
+
+
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     for s, e, k in sorted(spans, reverse=True):
         text = f"{text[:s]}[{KINDS[k].upper()}]{text[e:]}"
     return text
 
 
-def personal(df: DataFrame, id: str, columns: list[str], pet: str | None = None) -> DataFrame:
-    """(id, field, kinds, redacted): the text fields that hold personal information, with typed placeholders in its place."""
+def learn(rows: DataFrame, columns: list[str], sample: int = SAMPLE) -> Potentials:
+    """The potentials, fitted in one task to at most about ``sample`` rows, those with the smallest hashes of their ids; the set ones for an empty table."""
+    share = min(1.0, sample / max(1, rows.count()))
+    some = rows.where(F.xxhash64("id") <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1))).where(F.concat_ws("\n", *columns).rlike(GATE))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([*frames, pd.DataFrame({c: [] for c in ("id", "pet", *columns)})])
+        if len(pdf):
+            p = fit(*_documents(pdf, columns))
+            yield pd.DataFrame({"name": [*p.weights, "_chain", "_skip"], "w": [*p.weights.values(), p.chain, p.skip]})
+
+    got = {r["name"]: r["w"] for r in some.repartition(1).sortWithinPartitions("id", *columns).mapInPandas(run, "name string, w double").collect()}  # one row per feature
+    return Potentials({f: got[f] for f in WEIGHTS}, got["_chain"], got["_skip"]) if got else Potentials()
+
+
+def _documents(pdf: pd.DataFrame, columns: list[str]) -> tuple[list, list[set[str]]]:
+    return list(zip(*[pdf[c].where(pdf[c].notna(), None).tolist() for c in columns], strict=True)), [{x} if isinstance(x, str) else set() for x in pdf["pet"]]
+
+
+def personal(df: DataFrame, id: str, columns: list[str], pet: str | None = None, sample: int = SAMPLE, gate: bool = True) -> DataFrame:
+    """(id, field, kinds, redacted): the text fields that hold personal information, with typed placeholders in its place. ``gate`` False looks at every row, for comparison."""
     ship(df.sparkSession)
     kind = df.schema[id].dataType.simpleString()
     rows = df.select(F.col(id).alias("id"), (F.col(pet) if pet else F.lit(None)).cast("string").alias("pet"), *columns)
-    gated = rows.where(F.concat_ws("\n", *columns).rlike(GATE))
+    p = learn(rows, columns, sample)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = list(zip(*[pdf[c].where(pdf[c].notna(), None).tolist() for c in columns], strict=True))
-            pets = [{p} if isinstance(p, str) else set() for p in pdf["pet"]]
+            texts, pets = _documents(pdf, columns)
             got = []
-            for i, fields, spans in zip(pdf["id"], texts, label(texts, pets), strict=True):
+            for i, fields, spans in zip(pdf["id"], texts, label(texts, pets, p), strict=True):
                 for c, t, s in zip(columns, fields, spans, strict=True):
                     if s:
                         got.append((i, c, sorted({KINDS[k] for _, _, k in s}), redact(t, s)))
             if got:
                 yield pd.DataFrame(got, columns=["id", "field", "kinds", "redacted"])
 
-    return gated.mapInPandas(run, f"id {kind}, field string, kinds array<string>, redacted string")
+    return (rows.where(F.concat_ws("\n", *columns).rlike(GATE)) if gate else rows).mapInPandas(run, f"id {kind}, field string, kinds array<string>, redacted string")

@@ -189,13 +189,44 @@ def test_all_repeats_of_a_cued_name_or_number_are_found(n):
 
 
 def test_belief_is_exact_on_trees():
-    theta, a, b, j = np.array([1.0, -0.5, 0.3]), np.array([0, 1]), np.array([1, 2]), np.array([1.2, 0.7])
-    p = np.zeros((3, 2))
-    for s in np.ndindex(2, 2, 2):
-        w = np.exp(sum(theta[i] * s[i] for i in range(3)) + sum(j[k] * (s[a[k]] == s[b[k]]) for k in range(2)))
-        for i in range(3):
+    r = np.random.default_rng(1)
+    theta, a, b, j = r.normal(0, 1, (4, 3)), np.array([0, 1, 1]), np.array([1, 2, 3]), np.array([1.2, 0.7, 2.0])
+    p = np.zeros((4, 3))
+    for s in np.ndindex(3, 3, 3, 3):
+        w = np.exp(sum(theta[i, s[i]] for i in range(4)) + sum(j[k] * (s[a[k]] == s[b[k]]) for k in range(3)))
+        for i in range(4):
             p[i, s[i]] += w
-    assert np.allclose(privacy.believe(theta, a, b, j), np.log(p[:, 1] / p[:, 0]))
+    got = privacy.believe(theta, a, b, j)
+    assert np.allclose(np.exp(got) / np.exp(got).sum(1, keepdims=True), p / p.sum(1, keepdims=True), atol=1e-3)
+
+
+def test_ties_between_repeats_decide():
+    """Without the shared potentials, repeats that have no words around them are lost, and one that only its repeats speak against is kept."""
+    text = [["联系人屠枕流。昨天屠枕流来过", "证件号：AB1234567，又见AB1234567", None]]
+    tied, loose = privacy.label(text, [set()]), privacy.label(text, [set()], privacy.Potentials(skip=0.0))
+    assert [len(x) for x in tied[0]] == [2, 2, 0] and [len(x) for x in loose[0]] == [1, 1, 0]
+    goods = [["批号13812345678，条码13812345678，又见13812345678", None, None]]
+    assert privacy.label(goods, [set()])[0][0] == []
+    assert [x[:2] for x in privacy.label(goods, [set()], privacy.Potentials(skip=0.0))[0][0]] == [(30, 41)]
+
+
+def test_learned_potentials():
+    rows_ = [["联系人屠枕流。", "电话13812345678。", "批号AB1234567"]] * 40 + [["联系人屠枕流，昨天屠枕流来过", None, None]] * 5 + [["宠物好", None, None]] * 5
+    p = privacy.fit(rows_, [set()] * 50)
+    assert p.weights["phone 0"] > privacy.WEIGHTS["phone 0"] and p.weights["goods"] < privacy.WEIGHTS["goods"] and p.weights["email"] == pytest.approx(privacy.WEIGHTS["email"])
+    assert privacy.COUPLING[0][0] <= p.chain <= privacy.COUPLING[0][1] and privacy.COUPLING[1][0] <= p.skip <= privacy.COUPLING[1][1]
+    assert privacy.fit([], []).weights == privacy.WEIGHTS
+
+
+def test_the_gate_loses_nothing(spark, sf):
+    """Every proposal of every visit passes the test in the JVM."""
+    visits = spark.read.parquet(f"{sf}/visits.parquet")
+    columns = ["chief_complaint", "present_history", "doctor_advice"]
+    extra = ["和Zoë O'Neil电话沟通", "寄到花园12号", "a（at）b.com", "主人屠枕流。", "ｚ＠ｂ.ｃｏｍ", "住松风里3栋2单元", "由屠枕流陪同", "Zoë Neil phoned"]
+    more = spark.createDataFrame([(f"x{i}", None, t, None, None) for i, t in enumerate(extra)], "id string, pet_name string, chief_complaint string, present_history string, doctor_advice string")
+    both = visits.select("id", "pet_name", *columns).unionByName(more)
+    gated, all_ = (rows(privacy.personal(both, "id", columns, "pet_name", gate=g)) for g in (True, False))
+    assert gated == all_ and len(gated) > 20
 
 
 def test_redaction(spark):
