@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import chars
@@ -66,14 +66,14 @@ def repair(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def fixed_column(df: DataFrame, *columns: str) -> DataFrame:
-    """df with the columns folded to their consistent form for comparisons; only rows with suspicious characters go through Python."""
+    """df with the columns folded to their consistent form for comparisons; only texts with suspicious characters are folded in Python."""
     ship(df.sparkSession)
-    suspicious: Column = F.lit(False)
-    for c in columns:
-        suspicious = suspicious | F.coalesce(F.col(c).rlike(chars.SUSPICIOUS), F.lit(False))
+    suspicious = {f"_odd_{i}": F.coalesce(F.col(c).rlike(chars.SUSPICIOUS), F.lit(False)) for i, c in enumerate(columns)}
 
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.map(chars.folded, na_action="ignore")
 
-    return df.where(~suspicious).unionByName(df.where(suspicious).withColumns({c: fold(c) for c in columns}))
+    # texts without a suspicious character go to Python as nulls, so every text is tested once and few are moved
+    odd = df.withColumns(suspicious).withColumns({f"_new_{i}": fold(F.when(F.col(f"_odd_{i}"), F.col(c))) for i, c in enumerate(columns)})
+    return odd.withColumns({c: F.when(F.col(f"_odd_{i}"), F.col(f"_new_{i}")).otherwise(F.col(c)) for i, c in enumerate(columns)}).drop(*suspicious, *[f"_new_{i}" for i in range(len(columns))])

@@ -75,7 +75,9 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     scripts = {"han": r"\p{IsHan}", "kana": r"[ぁ-ヿ]", "hangul": r"\p{IsHangul}", "cyrillic": r"\p{IsCyrillic}", "arabic": r"\p{IsArabic}", "thai": r"\p{IsThai}", "latin": r"\p{IsLatin}"}
     c = F.col(text)
-    df = df.withColumns({f"_{k}": F.regexp_count(c, F.lit(p)) for k, p in scripts.items()})
+    rare = F.coalesce(c.rlike("[" + "".join(scripts[k].strip("[]") for k in ("kana", "hangul", "cyrillic", "arabic", "thai")) + "]"), F.lit(False))
+    df = df.withColumn("_rare", rare)
+    df = df.withColumns({f"_{k}": F.regexp_count(c, F.lit(p)) if k in ("han", "latin") else F.when(F.col("_rare"), F.regexp_count(c, F.lit(p))).otherwise(0) for k, p in scripts.items()})
     df = df.withColumn("_words", F.when(F.col("_latin") >= 12, F.split(F.lower(c), r"[^\p{L}']+|(?<=['’])")))
     df = df.withColumn("_best", F.array_max(F.array(*[F.struct(F.size(F.filter("_words", _among(v.split()))).alias("n"), F.lit(k).alias("k")) for k, v in FUNCTION_WORDS.items()])))
     han, kana, hangul, cyrillic, arabic, thai, latin = (F.col(f"_{k}") for k in scripts)
@@ -84,7 +86,7 @@ def with_language(df: DataFrame, text: str, out: str) -> DataFrame:
         .when(cyrillic * 2 > han + latin, F.when(cyrillic > 3, "ru")).when(arabic * 2 > han + latin, F.when(arabic > 3, "ar")).when(thai * 2 > han + latin, F.when(thai > 3, "th"))
         .when(han * 5 >= latin, F.when(han > 1, "zh")).when((latin >= 12) & (F.col("_best")["n"] >= 2), F.col("_best")["k"])
     )
-    return df.withColumn(out, named).drop("_words", "_best", *[f"_{k}" for k in scripts])
+    return df.withColumn(out, named).drop("_words", "_best", "_rare", *[f"_{k}" for k in scripts])
 
 
 def _letters(c: Column) -> Column:
@@ -199,13 +201,15 @@ def defects(df: DataFrame, id: str, site: str, question: str, answer: str, short
     lead = f"^(?:{INTRODUCTIONS})+(?=.)"
     rows = rows.withColumn("a", F.coalesce("a", F.lit(""))).withColumn("text", F.regexp_replace("a", r"<[^>]*>|&[a-z]+;", " "))
     rows = rows.withColumns({"core": _letters(F.col("text")), "ca": canonical(F.col("text")), "cq": canonical(F.col("q"))})
-    rows = rows.withColumns({"rest": F.replace(F.regexp_replace("ca", lead, ""), F.regexp_replace("cq", lead, ""), F.lit("")), "clauses": F.filter(F.transform(F.split(F.lower("text"), r"[，,。！？!?；;\n]+|\.(?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")})
     rows = with_language(with_language(rows, "text", "la"), "q", "lq")
     core, ca, cq = F.col("core"), F.col("ca"), F.col("cq")
     empty = (core == "") | core.isin(PLACEHOLDERS)
     inside = (F.length(ca) >= 0.6 * F.length(cq)) & F.contains(cq, ca)
-    copy = (F.length(cq) >= 4) & (inside | (F.contains(ca, cq) & (F.length(F.regexp_replace("rest", f"^(?:{INTRODUCTIONS}|答|a)+$", "")) == 0)))
-    refusal = F.exists("clauses", lambda x: x.rlike(DECLINES)) & (F.length(F.array_join(F.filter("clauses", lambda x: ~x.rlike(DECLINES) & ~x.rlike(POLITE)), "")) <= 4)
+    # the costly parts are evaluated only where a cheap test leaves them open
+    rest = F.replace(F.regexp_replace(ca, lead, ""), F.regexp_replace(cq, lead, ""), F.lit(""))
+    copy = (F.length(cq) >= 4) & (inside | F.when(F.contains(ca, cq), F.length(F.regexp_replace(rest, f"^(?:{INTRODUCTIONS}|答|a)+$", "")) == 0).otherwise(False))
+    parts = F.filter(F.transform(F.split(F.lower("text"), r"[，,。！？!?；;\n]+|\.(?=\s|$)"), lambda x: F.trim(x)), lambda x: x != "")
+    refusal = F.when(F.lower("text").rlike(DECLINES), F.exists(parts, lambda x: x.rlike(DECLINES)) & (F.length(F.array_join(F.filter(parts, lambda x: ~x.rlike(DECLINES) & ~x.rlike(POLITE)), "")) <= 4)).otherwise(False)
     foreign = F.col("la").isNotNull() & F.col("lq").isNotNull() & (F.col("la") != F.col("lq"))
     kind = F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal").when(foreign, "language")
     rows = cut(rows.select("id", "site", "a", F.xxhash64("ca").alias("own"), kind.alias("kind")))
