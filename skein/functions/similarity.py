@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -87,6 +89,26 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Similarities of two strings by name; ``register`` adds more.
+LEXICAL: dict[str, Callable[[Column, Column], Column]] = {
+    "jaccard": jaccard, "quick": quick_ratio, "edit": edit_ratio, "jaro_winkler": jaro_winkler, "substring": lambda a, b: F.try_divide(common_substring(a, b), F.greatest(F.length(a), F.length(b))),
+    "levenshtein": lambda a, b: 1 - F.try_divide(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b))),
+}
+
+
+def register(name: str, f: Callable[[Column, Column], Column]) -> None:
+    """Adds a named similarity; a taken name is an error."""
+    if name in LEXICAL:
+        raise ValueError(f"{name} is taken")
+    LEXICAL[name] = f
+
+
+def lexical(name: str, a: Column, b: Column) -> Column:
+    if name not in LEXICAL:
+        raise ValueError(f"no similarity {name}; there are {', '.join(sorted(LEXICAL))}")
+    return LEXICAL[name](a, b)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

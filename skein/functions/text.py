@@ -42,10 +42,31 @@ def quoted(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("“[^”]*”"), F.lit(0))
 
 
+@F.pandas_udf(T.StringType())
+def _unbracketed(s: pd.Series) -> pd.Series:
+    inner = re.compile(r"[（(][^（()）]*[)）]")
+
+    def one(t: str) -> str:
+        while (new := inner.sub("", t)) != t:
+            t = new
+        return t
+
+    return s.map(one, na_action="ignore")
+
+
 def without_brackets(c: Column) -> Column:
-    """Without passages in round brackets, innermost first, two levels deep."""
+    """Without passages in round brackets, however deep; two levels need no Python."""
     one = lambda x: F.regexp_replace(x, r"[（(][^（()）]*[)）]", "")
-    return one(one(c))
+    two = one(one(c))
+    return F.when(two.rlike(r"[（(][^（()）]*[)）]"), _unbracketed(two)).otherwise(two)
+
+
+def url_quoted(c: Column) -> Column:
+    """Percent-encoded, with letters, digits and -._~ left as they are."""
+    q = F.url_encode(c)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        q = F.replace(q, F.lit(a), F.lit(b))
+    return q
 
 
 def classes(c: Column) -> dict[str, Column]:
@@ -94,7 +115,7 @@ def snippet(content: Column, query: Column, around: int = 24) -> Column:
 
 
 def numerals(n: int) -> str:
-    """Chinese numerals of a whole number below 10^8."""
+    """Chinese numerals of a whole number below 10^16."""
     digits, units = "零一二三四五六七八九", ["", "十", "百", "千"]
 
     def four(x: int) -> str:
@@ -110,6 +131,9 @@ def numerals(n: int) -> str:
 
     if n == 0:
         return digits[0]
+    if n >= 10**8:
+        high, low = divmod(n, 10**8)
+        return numerals(high) + "亿" + (("零" if low < 10**7 else "") + ("一十" + numerals(low)[1:] if numerals(low)[0] == "十" else numerals(low)) if low else "")
     high, low = divmod(n, 10_000)
     text = (four(high) + "万" + ("零" if low and low < 1000 else "") if high else "") + four(low)
     return text[1:] if text.startswith("一十") else text
@@ -117,9 +141,10 @@ def numerals(n: int) -> str:
 
 @F.pandas_udf(T.StringType())
 def spoken_numbers(s: pd.Series) -> pd.Series:
-    """Whole numbers of up to eight digits written in Chinese numerals; null stays null."""
-    number = re.compile(r"\d{1,8}(?!\d)(?<!\d{9})")
-    return s.map(lambda t: number.sub(lambda m: numerals(int(m[0])), t), na_action="ignore")
+    """Whole numbers written in Chinese numerals, those of more than 16 digits digit by digit; null stays null."""
+    number = re.compile(r"[0-9]+")
+    spoken = lambda x: numerals(int(x)) if len(x) <= 16 else "".join("零一二三四五六七八九"[int(c)] for c in x)
+    return s.map(lambda t: number.sub(lambda m: spoken(m[0]), t), na_action="ignore")
 
 
 def segment(df: DataFrame, column: str, words: DataFrame, word: str, longest: int = 12) -> DataFrame:
@@ -155,3 +180,12 @@ def segment(df: DataFrame, column: str, words: DataFrame, word: str, longest: in
             yield x.map(one)
 
     return df.withColumn("tokens", cut(F.col(column)))
+
+
+def corpus(parts: list[DataFrame]) -> DataFrame:
+    """(line, copies, sources): of tables (source, line), every line once without outer spaces, how often it stands in all of them, and in which. Counted with map-side combining."""
+    rows = None
+    for p in parts:
+        rows = p if rows is None else rows.unionByName(p)
+    n = rows.select("source", F.regexp_replace("line", r"^[ \t\r]+|[ \t\r]+$", "").alias("line")).where("line <> ''").groupBy("line", "source").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("line").agg(F.sum("n").alias("copies"), F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources"))

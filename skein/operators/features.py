@@ -79,11 +79,70 @@ def draw_with_replacement(df: DataFrame, id: str, n: int, seed: int = 7) -> Data
     return draws.join(rows, "_place").drop("_place")
 
 
-def diagnose(relation: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
-    """(request, disease, probability, rank) for (request, symptom) rows: the product of the weights of the symptoms asked about, as exp of a sum of logs, divided by the request's sum."""
-    from pyspark.sql.window import Window as W
+def multi_hot(df: DataFrame, row: str, column: str, value: str, columns: DataFrame) -> DataFrame:
+    """(row, weights): one array per row with the largest value of each of the stated columns in order of name, 0 where there is none.
+
+    The columns are a dictionary: their names come to every row in one broadcast array.
+    """
+    names = columns.select(F.col(column).alias("c")).where("c is not null").distinct().agg(F.array_sort(F.collect_list("c")).alias("_names"))
+    mine = df.groupBy(row, column).agg(F.max(value).alias("v")).groupBy(row).agg(F.map_from_entries(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(F.col(column), F.col("v"))))).alias("_m"))
+    return mine.join(F.broadcast(names)).select(row, F.transform("_names", lambda c: F.coalesce(F.try_element_at("_m", c), F.lit(0))).alias("weights"))
+
+
+def rescaled(c: Column, mean: float, threshold: float) -> Column:
+    """A vital sign as a number; one above the threshold was typed without its decimal point and is divided by ten."""
+    v = vital(c, mean)
+    return F.when(v > threshold, v / 10).otherwise(v)
+
+
+def age_class(months: Column) -> Column:
+    """1 young (up to 12 months), 2 grown, 3 old (over 96); null where unknown."""
+    return F.when(months.isNull(), None).when(months > 96, 3).when(months > 12, 2).otherwise(1)
+
+
+def sex_class(c: Column) -> Column:
+    return F.when(c.isin("公", "雄", "M"), 1).when(c.isin("母", "雌", "F"), 2)
+
+
+def kind_class(c: Column) -> Column:
+    """1 dog, 2 cat; null for anything else."""
+    return F.when(c.rlike("犬|DOG"), 1).when(c.rlike("猫|CAT"), 2)
+
 
+def attributes(visits: DataFrame, disease: str, parts: dict[str, Column], least: float = 0.9) -> DataFrame:
+    """(disease, *parts): for each part the one class that holds at least ``least`` of the disease's visits with a known class, else null. Counted with map-side combining."""
+    out = None
+    for name, c in parts.items():
+        n = visits.where(F.col(disease).isNotNull()).select(F.col(disease).alias("disease"), c.alias("v")).where("v is not null").groupBy("disease", "v").agg(F.count(F.lit(1)).alias("n"))
+        top = n.groupBy("disease").agg(F.max_by("v", F.struct("n", F.negative("v"))).alias("v"), (F.max("n") / F.sum("n")).alias("share")).select("disease", F.when(F.col("share") >= least, F.col("v")).alias(name))
+        out = top if out is None else out.join(top, "disease", "full_outer")
+    return out
+
+
+def diagnose_filtered(relation: DataFrame, requests: DataFrame, attributes: DataFrame, given: DataFrame, parts: list[str], k: int = 5) -> DataFrame:
+    """(request, disease, probability, rank): as ``diagnose``, but a disease one of whose known attributes differs from the request's known one gets no probability.
+
+    ``given`` has one row per request with its attributes; diseases without attributes pass. Requests all of whose diseases are ruled out have no rows.
+    """
+    scored = diagnosis_scores(relation, requests).join(small(attributes), "disease", "left").join(given.select("request", *[F.col(p).alias(f"_{p}") for p in parts]), "request", "left")
+    for p in parts:
+        scored = scored.where(F.col(p).isNull() | F.col(f"_{p}").isNull() | (F.col(p) == F.col(f"_{p}")))
+    return ranked_diseases(scored.select("request", "disease", "score"), k)
+
+
+def diagnosis_scores(relation: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request, disease, score): the product of the weights of the symptoms asked about, as exp of a sum of logs."""
     r = relation.where("disease is not null and symptom is not null and weight > 0").groupBy("disease", "symptom").agg(F.max("weight").alias("weight"))
-    hits = requests.distinct().join(small(r), "symptom").groupBy("request", "disease").agg(F.exp(F.sum(F.ln("weight"))).alias("score"))
-    p = hits.withColumn("probability", F.try_divide("score", F.sum("score").over(W.partitionBy("request"))))
+    return requests.distinct().join(small(r), "symptom").groupBy("request", "disease").agg(F.exp(F.sum(F.ln("weight"))).alias("score"))
+
+
+def ranked_diseases(scored: DataFrame, k: int = 5) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    p = scored.withColumn("probability", F.try_divide("score", F.sum("score").over(W.partitionBy("request"))))
     return p.withColumn("rank", F.row_number().over(W.partitionBy("request").orderBy(F.desc(F.round("probability", 9)), "disease"))).where(F.col("rank") <= k).select("request", "disease", "probability", "rank")
+
+
+def diagnose(relation: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
+    """(request, disease, probability, rank) for (request, symptom) rows: scores divided by the request's sum, the best ``k``."""
+    return ranked_diseases(diagnosis_scores(relation, requests), k)

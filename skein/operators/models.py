@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, HashingTF, VectorAssembler, Word2Vec
+from pyspark.ml.feature import PCA, HashingTF, StringIndexer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,3 +42,48 @@ def without_first_component(df: DataFrame, id: str, vector: str, faithful: bool
         return df.select(id, F.zip_with(a, c, lambda x, y: x - x * y * y).alias("vector"))
     along = F.aggregate(F.zip_with(a, c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return df.select(id, a.alias("a"), along.alias("along")).select(id, F.zip_with("a", c, lambda x, y: x - F.col("along") * y).alias("vector"))
+
+
+def diagnosis_forest(df: DataFrame, id: str, text: str, disease: str, symptoms: DataFrame, symptom: str, seed: int = 18) -> DataFrame:
+    """(id, disease, prediction): a forest on which symptoms a text names, trained on a hashed three quarters, for all rows.
+
+    The features are the symptoms in order of name; their number is that of the dictionary, which is collected (checked: up to 2,000).
+    """
+    names = [r[0] for r in symptoms.select(symptom).where(F.col(symptom).isNotNull()).distinct().orderBy(symptom).limit(2001).collect()]
+    if len(names) > 2000:
+        raise ValueError("more than 2,000 symptoms; choose a subset of the dictionary")
+    has = F.array(*[F.contains(F.coalesce(F.col(text), F.lit("")), F.lit(n)).cast("double") for n in names])
+    rows = df.select(F.col(id).alias("id"), F.col(disease).alias("disease"), array_to_vector(has).alias("features"))
+    index = StringIndexer(inputCol="disease", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
+    rows = index.transform(rows)
+    model = RandomForestClassifier(numTrees=20, maxDepth=8, seed=seed).fit(rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(4)) > 0))
+    names_of = F.array(*map(F.lit, index.labels))
+    return model.transform(rows).select("id", "disease", F.element_at(names_of, (F.col("prediction") + 1).cast("int")).alias("prediction"))
+
+
+def classification_metrics(df: DataFrame, label: str, prediction: str, classes: list[int]) -> DataFrame:
+    """One row: accuracy, macro precision and recall, F1 weighted by the classes' sizes. One pass with map-side combining; a class never predicted or never present counts 0."""
+    n = lambda c: F.count_if(c).cast("double")
+    y, p = F.col(label), F.col(prediction)
+    parts = df.agg(*[x for k in classes for x in (n((y == k) & (p == k)).alias(f"t{k}"), n(p == k).alias(f"p{k}"), n(y == k).alias(f"y{k}"))])
+    pr, re = ([F.coalesce(F.try_divide(F.col(f"t{k}"), F.col(f"{x}{k}")), F.lit(0.0)) for k in classes] for x in "py")
+    f1 = [F.coalesce(F.try_divide(2 * a * b, a + b), F.lit(0.0)) for a, b in zip(pr, re, strict=True)]
+    total = lambda c: sum((F.col(f"{c}{k}") for k in classes), F.lit(0.0))
+    weighted = sum((F.col(f"y{k}") * f for k, f in zip(classes, f1, strict=True)), F.lit(0.0))
+    values = {"accuracy": F.try_divide(total("t"), total("y")), "precision": sum(pr, F.lit(0.0)) / len(classes), "recall": sum(re, F.lit(0.0)) / len(classes), "weighted_f1": F.try_divide(weighted, total("y"))}
+    return parts.select(*[F.round(v, 6).alias(k) for k, v in values.items()])
+
+
+def risks(features: DataFrame, diagnoses: DataFrame, id: str, columns: list[str], over: int = 100, bound: int = 500) -> DataFrame:
+    """(id, disease, risk): for every disease with more than ``over`` rows one logistic model on the features, applied to all rows. Each is a model of its own; more than ``bound`` of them are an error."""
+    common = [r["disease"] for r in diagnoses.where("disease is not null").groupBy("disease").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over).orderBy("disease").limit(bound + 1).collect()]
+    if len(common) > bound:
+        raise ValueError(f"more than {bound} diseases have over {over} rows; raise the bound or the gate")
+    rows = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(features.join(diagnoses, id, "left"))
+    out = None
+    for d in common:
+        mine = rows.withColumn("label", F.coalesce((F.col("disease") == d).cast("double"), F.lit(0.0)))
+        model = LogisticRegression(maxIter=20, regParam=0.01).fit(mine)
+        part = model.transform(mine).select(id, F.lit(d).alias("disease"), F.element_at(vector_to_array("probability"), 2).alias("risk"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else rows.select(id, F.col("disease"), F.lit(0.0).alias("risk")).limit(0)

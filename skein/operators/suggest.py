@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from skein.operators.joins import within_edits
 from skein.session import small
 
 
@@ -30,6 +31,17 @@ def homophones(words: DataFrame, word: str, dictionary: DataFrame) -> DataFrame:
     return r.select("word", "reading").join(r.select(F.col("word").alias("other"), "reading"), "reading").where("word <> other").select("word", "other")
 
 
+def reading_candidates(words: DataFrame, word: str, dictionary: DataFrame, k: int) -> DataFrame:
+    """(word, candidate, distance, similarity): different words whose readings are at most ``k`` edits apart; four fifths of the similarity come from the signs, one fifth from the reading, by edits over the greater length."""
+    r = readings(words, word, dictionary)
+    near = within_edits(r, "reading", k)
+    same = r.select(F.col("reading").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("distance"))
+    pairs = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(same)
+    j = pairs.join(r.select(F.col("word").alias("word"), F.col("reading").alias("a")), "a").join(r.select(F.col("word").alias("candidate"), F.col("reading").alias("b")), "b").where("word <> candidate")
+    alike = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
+    return j.select("word", "candidate", "distance", F.round(0.8 * alike(F.col("word"), F.col("candidate")) + 0.2 * alike(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
 def masked_candidates(words: DataFrame) -> DataFrame:
     """(word, candidate, score): of (word, n), other words of the same length that differ in one place; the score is the share of the candidate's frequency."""
     masks = words.where(F.length("word") >= 2).select("word", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.lit("_"), F.substring("word", i + 1, F.length("word"))))).alias("mask"))

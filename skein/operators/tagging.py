@@ -62,6 +62,21 @@ def tags(df: DataFrame, id: str, tokens: str, rules: DataFrame) -> DataFrame:
     return t.join(small(rules), "keyword").groupBy(id, "scenario").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
+def tag_columns(tagged: DataFrame, id: str, scenarios: list[str]) -> DataFrame:
+    """One array column of labels per stated scenario."""
+    return tagged.groupBy(id).agg(*[F.first(F.when(F.col("scenario") == s, F.col("names")), ignorenulls=True).alias(s) for s in scenarios])
+
+
+def match_features(df: DataFrame, query: str, entity: str) -> DataFrame:
+    """df with the features of a query and an entity: lengths, whether and where the query has it (begin from 0, -1 if not; characters behind), share of its characters in the query."""
+    q, e = F.col(query), F.col(entity)
+    chars = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    return df.withColumns({
+        "query_length": F.length(q), "entity_length": F.length(e), "contained": F.contains(q, e), "begin": F.position(e, q) - 1,
+        "behind": F.when(F.contains(q, e), F.length(q) - F.length(e) - F.position(e, q) + 1), "share": F.try_divide(F.size(F.array_intersect(chars(q), chars(e))), F.size(chars(e))),
+    })
+
+
 def intent(text: Column, sensitive: Column, domain: Column) -> Column:
     """Cascade: empty or nonsense is chit-chat, then sensitive words, then domain words."""
     return F.when(text.isNull() | (F.trim(text) == ""), "chitchat").when(sensitive, "sensitive").when(domain, "pet_qa").when(tx.nonsense(text), "chitchat").otherwise("unknown")

@@ -76,11 +76,12 @@ def q_category_codes(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", code("pet_kindof", {"犬": 1, "猫": 2}).alias("kind"), code("pet_gender", {"公": 1, "雄": 1, "M": 1, "母": 2, "雌": 2, "F": 2}).alias("sex"))
 
 
-@query("select disease, " + ", ".join(f"coalesce(max(case when symptom = '{s}' then weight end), 0) as s{i}" for i, s in enumerate(["呕吐", "拉稀", "咳嗽", "发热"])) + " from symptom_relation where disease is not null group by disease")
+@query("""with d as (select distinct disease from symptom_relation where disease is not null), s as (select distinct symptom from symptom_relation where symptom is not null), w as (select disease, symptom, max(weight) as weight from symptom_relation group by all)
+select disease, string_agg(coalesce(weight, 0), ',' order by symptom) as weights from d cross join s left join w using (disease, symptom) group by disease""")
 def q_multi_hot(spark: SparkSession, d: str) -> DataFrame:
-    """Symptom weights as columns."""
-    r = table(spark, d, "symptom_relation").where("disease is not null")
-    return r.groupBy("disease").agg(*[F.coalesce(F.max(F.when(F.col("symptom") == s, F.col("weight"))), F.lit(0)).alias(f"s{i}") for i, s in enumerate(["呕吐", "拉稀", "咳嗽", "发热"])])
+    """The weights of all symptoms of each disease, in order of the symptoms' names; 0 where a disease hasn't the symptom."""
+    r = table(spark, d, "symptom_relation")
+    return ft.multi_hot(r.where("disease is not null"), "disease", "symptom", "weight", r.where("symptom is not null").select("symptom").distinct()).select("disease", F.array_join(F.col("weights").cast("array<string>"), ",").alias("weights"))
 
 
 @query("""with e as (select distinct pet_id from visits where contains(symptom_level3, '皮炎') and pet_id is not null), o as (select distinct pet_id from visits where symptom_level3 is not null and pet_id is not null and pet_id not in (select pet_id from e))
@@ -102,11 +103,11 @@ def q_draws(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with r as (select disease, symptom, max(weight) as weight from symptom_relation where disease is not null and symptom is not null and weight > 0 group by all), q as (select distinct id as request, unnest(string_split(chief_complaint, '、')) as symptom from visits where chief_complaint is not null),
 h as (select request, disease, exp(sum(ln(weight))) as score from q join r using (symptom) group by all), p as (select request, disease, score / sum(score) over (partition by request) as probability from h),
-k as (select *, row_number() over (partition by request order by round(probability, 9) desc, disease) as rank from p) select request, disease, round(probability, 6) as probability, cast(rank as int) as rank from k where rank <= 5""")
+k as (select *, row_number() over (partition by request order by round(probability, 9) desc, disease) as rank from p) select request, disease, round(probability + 1e-9, 6) as probability, cast(rank as int) as rank from k where rank <= 5""")
 def q_diagnose(spark: SparkSession, d: str) -> DataFrame:
     """The five likeliest diseases for the symptoms listed in each complaint."""
     requests = table(spark, d, "visits").where("chief_complaint is not null").select(F.col("id").alias("request"), F.explode(F.split("chief_complaint", "、")).alias("symptom"))
-    return ft.diagnose(table(spark, d, "symptom_relation"), requests).withColumn("probability", F.round("probability", 6))
+    return ft.diagnose(table(spark, d, "symptom_relation"), requests).withColumn("probability", F.round(F.col("probability") + 1e-9, 6))
 
 
 _EDGES = """edges as (select distinct disease as src, '症状' as rel, symptom as dst from symptom_relation where disease is not null and symptom is not null union all select distinct name, '别名', unnest(alias) from entity_alias where name is not null)"""
@@ -130,9 +131,7 @@ def q_graph_one_hop(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_EDGES}, s as (select distinct disease as src from symptom_relation where disease is not null) select a.src as start, a.rel || '|' || b.rel as path, b.dst as answer from edges a join s on s.src = a.src join edges b on b.src = a.dst where a.rel <> '别名'")
 def q_graph_two_hops(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    first = graph.one_hop(e.where("rel <> '别名'"), _diseases(spark, d)).select("start", F.col("path").alias("r1"), F.col("answer").alias("src"))
-    return first.join(e, "src").select("start", F.concat_ws("|", "r1", "rel").alias("path"), F.col("dst").alias("answer"))
+    return graph.two_hops(edges(spark, d), _diseases(spark, d), ("别名",))
 
 
 @query(f"with {_EDGES}, s as (select distinct symptom as dst from symptom_relation where symptom is not null) select distinct a.dst as start, a.rel || '|' || b.rel as path, b.dst as answer from edges a join s on s.dst = a.dst join edges b on b.src = a.src and not (a.rel = b.rel and a.dst = b.dst)")
@@ -186,9 +185,11 @@ def q_relation_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_forest(spark: SparkSession, d: str) -> DataFrame:
-    """Random forest on symptom weights."""
-    m = q_multi_hot(spark, d).withColumn("label", F.pmod(F.xxhash64("disease"), F.lit(2)).cast("int"))
-    return models.tree_classifier(m, "disease", ["s0", "s1", "s2", "s3"], "label")
+    """Random forest that tells the disease of a visit from the symptoms in its texts, trained on three quarters of the visits with a known disease."""
+    r, v = table(spark, d, "symptom_relation"), table(spark, d, "visits")
+    diseases = r.where("disease is not null").groupBy("disease").agg(F.max("weight").alias("w")).select("disease")
+    known = v.join(F.broadcast(diseases), v["symptom_level3"] == diseases["disease"]).where("id is not null").dropDuplicates(["id"]).select("id", "disease", F.concat_ws("\n", "chief_complaint", "present_history").alias("said"))
+    return models.diagnosis_forest(known, "id", "said", "disease", r.where("symptom is not null").select("symptom").distinct(), "symptom")
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.operators import units
-from skein.plans import feature_queries, language_queries, retrieval_queries, stats_queries, text_queries  # noqa: F401
+from skein.plans import answering_queries, feature_queries, language_queries, preparation_queries, retrieval_queries, stats_queries, text_queries  # noqa: F401
 from skein.plans.registry import QUERIES, SQL, query  # noqa: F401
 from skein.sources.tables import table
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skein.functions import similarity as sim
-from skein.operators import counts
+from skein.operators import counts, vectors
 from skein.plans.registry import query
 from skein.sources.tables import table
 
@@ -164,13 +164,12 @@ def q_spearman(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(a, "l_quantity").join(b, "l_extendedprice").agg(F.round(F.corr("a", "b"), 6).alias("spearman"))
 
 
-@query("select label, list_transform(range(1, 65), lambda i: 1) is not null as ok, count(*) as n, round(avg(embedding[1]), 6) as v1, round(avg(embedding[64]), 6) as v64, round(sum(list_dot_product(embedding::double[], embedding::double[])), 4) as energy from embeddings group by label")
+@query("""with x as (select label, unnest(embedding)::double as x, unnest(range(64)) as i from embeddings) select label, i, round(avg(x), 6) + 0.0 as x from x group by all""")
 def q_mean_pool(spark: SparkSession, d: str) -> DataFrame:
     """Mean vector per label."""
     e = table(spark, d, "embeddings")
-    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    stats = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(sim.dot(F.col("embedding"), F.col("embedding"))), 4).alias("energy"))
-    return mean.join(stats, "label").select("label", F.lit(True).alias("ok"), "n", F.round(F.element_at("m", 1), 6).alias("v1"), F.round(F.element_at("m", -1), 6).alias("v64"), "energy")
+    rows = e.select(F.col("label").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return vectors.pooled(rows).select(F.col("id").alias("label"), F.posexplode("vector").alias("i", "x")).withColumns({"i": F.col("i").cast("long"), "x": F.round("x", 6) + 0.0})
 
 
 @query("select distinct unnest(string_split(question, '')) as ch from qa where question is not null")

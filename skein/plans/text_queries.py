@@ -211,15 +211,15 @@ def q_segment(spark: SparkSession, d: str) -> DataFrame:
     return tx.segment(table(spark, d, "qa"), "question", words, "word").select("qa_index", "tokens")
 
 
-@query("select qa_index, list_transform(range(1, length(question) + 1), lambda i: 'x') is not null as ok, cast(length(question) as int) as n, printf('%.2f%%', round(length(question) / 7.0, 2)) as percent, substring(cast(created_at as varchar), 1, 7) as month from qa where question is not null and created_at is not null")
+@query("select qa_index, cast(length(question) as int) as n, printf('%.2f%%', round(length(question) / 7.0, 2)) as percent, substring(cast(created_at as varchar), 1, 7) as month from qa where question is not null and created_at is not null")
 def q_formats(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "qa").where("question is not null and created_at is not null")
-    return q.select("qa_index", F.lit(True).alias("ok"), F.length("question").alias("n"), F.format_string("%.2f%%", F.round(F.length("question") / 7.0, 2)).alias("percent"), F.date_format("created_at", "yyyy-MM").alias("month"))
+    return q.select("qa_index", F.length("question").alias("n"), F.format_string("%.2f%%", F.round(F.length("question") / 7.0, 2)).alias("percent"), F.date_format("created_at", "yyyy-MM").alias("month"))
 
 
-@query("select qa_index, url_encode(question) as quoted from qa where question is not null and not regexp_matches(question, '[*~]')")
+@query("select qa_index, url_encode(question) as quoted from qa where question is not null")
 def q_url_quote(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "qa").where("question is not null and not question rlike '[*~]'").select("qa_index", F.replace(F.url_encode("question"), F.lit("+"), F.lit("%20")).alias("quoted"))
+    return table(spark, d, "qa").where("question is not null").select("qa_index", tx.url_quoted(F.col("question")).alias("quoted"))
 
 
 @query("""with a as (select name, unnest(string_split(regexp_replace(coalesce(chinese_alias, ''), '[，,/]', '|', 'g'), '|')) as alias from breed_info) select distinct name, trim(alias) as alias from a where trim(alias) <> ''""")

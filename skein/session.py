@@ -32,10 +32,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    """Cuts the lineage with a reliable checkpoint in the folder of ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its own; on a cluster this is an error, as executors don't share a machine's folders."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skein-checkpoint"))
+        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-checkpoint"))
     return df.checkpoint()
 
 
