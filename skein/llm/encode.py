@@ -1,12 +1,13 @@
 """Encoding of the corpus with a public byte-level BPE tokenizer, by DuckDB recursive queries per partition.
 
 A text is cut into words by the tokenizer's pattern. The distinct words of a batch become token-position rows, first one
-row per byte. A recursive query joins neighbouring tokens with the merge table, takes each word's leftmost pair of least
-rank, contracts it, and goes on with the words that still had a pair, until none has; an ordered aggregation gives each
-word's ids. Words known from earlier batches of the partition aren't asked again. Nothing is shuffled.
+row per byte. A recursive query joins neighbouring tokens with the merge table, takes each word's pair of least rank,
+contracts it at its leftmost place and, as no contraction makes a pair of lower rank than its own, in the same step at all
+further places from left to right, and goes on with the words that still had a pair, until none has; an ordered aggregation
+gives each word's ids. Words known from earlier batches of the partition aren't asked again. Nothing is shuffled.
 
-A recursive query keeps the rows of all its steps, about half the square of a word's bytes, so words go in chunks of
-bounded rows. A single word too long for that (thousands of bytes without a break) takes the same contraction with a heap.
+A recursive query keeps the rows of all its steps, so words go in chunks of bounded rows. A word has as many steps as
+different pairs were contracted, so even one of many thousand bytes without a break has few.
 
 The tokenizer's file is a parameter; the driver reads it and broadcasts it (2 MB, fixed size).
 
@@ -17,7 +18,6 @@ empty result.
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -30,17 +30,23 @@ from skein.session import ship
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the word pattern of this family of tokenizers.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROWS, CACHE, BATCH = 2_000_000, 200_000, 2_000
+#: Rows of a recursive query, and steps reckoned with at most; words remembered; texts encoded at a time.
+ROWS, STEPS, CACHE, BATCH = 2_000_000, 400, 200_000, 10_000
 
 SQL = """
 with recursive t(step, w, pos, id) as (
   select 0, w, pos, id from start
   union all
-  (with pair as (select w, pos, id, lead(id) over s as right_id, lead(pos) over s as right_pos from t window s as (partition by w order by pos)),
-        best as (select w, min(m.rank * 4096 + p.pos) as k, arg_min(m.id, m.rank * 4096 + p.pos) as merged, arg_min(p.right_pos, m.rank * 4096 + p.pos) as gone
-                 from pair p join merges m on p.id = m.left_id and p.right_id = m.right_id group by w)
-   select t.step + 1, t.w, t.pos, case when t.pos = best.k % 4096 then best.merged else t.id end
-   from t join best on t.w = best.w where t.pos <> best.gone)
+  (with pair as (select w, pos, id, lead(id) over s as right_id, lead(pos) over s as right_pos, row_number() over s as o from t window s as (partition by w order by pos)),
+        found as (select p.w, p.pos, p.right_pos, p.o, m.rank, m.id as merged, p.id = p.right_id as same from pair p join merges m on p.id = m.left_id and p.right_id = m.right_id),
+        least as (select w, min(rank) as rank from found group by w),
+        best as (select f.w, f.pos, f.right_pos, f.merged, f.o, f.same from found f join least l on f.w = l.w and f.rank = l.rank),
+        run as (select w, pos, right_pos, merged, o, o - row_number() over (partition by w order by o) as g from best where same),
+        chosen as (select w, pos, right_pos, merged from best where not same union all select w, pos, right_pos, merged from run qualify row_number() over (partition by w, g order by o) % 2 = 1),
+        change as (select w, pos, merged from chosen union all select w, right_pos, -1 from chosen)
+   select t.step + 1, t.w, t.pos, coalesce(c.merged, t.id)
+   from t join least l on l.w = t.w left join change c on c.w = t.w and c.pos = t.pos
+   where c.merged is null or c.merged >= 0)
 )
 select w, list(id order by pos) as ids from t join (select w, max(step) as step from t group by w) using (w, step) group by w
 """
@@ -65,7 +71,6 @@ class Encoder:
         import regex
 
         self.first, self.words = first, regex.compile(PATTERN)
-        self.merges = {(a, b): (r, i) for r, a, b, i in merges}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         rank, left, right, merged = zip(*merges, strict=True)
         table = pa.table({"rank": pa.array(rank, pa.int64()), "left_id": pa.array(left, pa.int32()), "right_id": pa.array(right, pa.int32()), "id": pa.array(merged, pa.int32())})
@@ -74,26 +79,6 @@ class Encoder:
         self.db.unregister("given")
         self.known: dict[str, list[int]] = {}
 
-    def by_heap(self, word: bytes) -> list[int]:
-        """The same contraction for one very long word."""
-        ids, n = [self.first[b] for b in word], len(word)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            _, i, a, b, merged = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = merged, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := self.merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
-        return [x for x, ok in zip(ids, alive, strict=True) if ok]
-
     def by_query(self, words: list[bytes]) -> list[list[int]]:
         import numpy as np
         import pyarrow as pa
@@ -125,10 +110,7 @@ class Encoder:
                 chunk.clear()
 
         for b, w in new:
-            need = len(b) * len(b) // 2 + 1
-            if len(b) >= 2000:
-                self.known[w] = self.by_heap(b)
-                continue
+            need = len(b) * (min(len(b), STEPS) // 2 + 1)
             if rows + need > ROWS:
                 flush()
                 rows = 0
