@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from skein.session import ship
 
-LEAST, BLOCK_CHARS = 40, 4_000_000
+#: Characters of a leak at least; characters of test items per automaton: about 0.7 KB each, so a worker stays below 400 MB.
+LEAST, BLOCK_CHARS = 40, 500_000
 
 
 class _Table(dict):
@@ -148,12 +149,17 @@ class Finder:
 _FINDERS: dict[int, Finder] = {}
 
 
-def leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = LEAST) -> DataFrame:
-    """(id, item, longest, cleaned): the documents that hold at least ``least`` consecutive characters of an item; cleaned is the document without them."""
+def leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = LEAST, cover: float = 1.0) -> DataFrame:
+    """(id, item, longest, covered, cleaned): the documents that hold at least ``least`` consecutive characters of an item.
+
+    ``covered`` is the share of the document's normal form inside such spans. ``cleaned`` is the document without them, and
+    empty where they cover ``cover`` of it or more: what is left of such a document is the frame of a test item. Test items
+    beyond one block's size make further blocks, each of which streams the documents once more and judges them by itself.
+    """
     spark = df.sparkSession
     ship(spark)
     kind = df.schema[id].dataType.simpleString()
-    schema = f"id {kind}, item {items.schema[item_id].dataType.simpleString()}, longest int, cleaned string"
+    schema = f"id {kind}, item {items.schema[item_id].dataType.simpleString()}, longest int, covered double, cleaned string"
     out, block, size = None, [], 0
 
     def add(block: list[tuple[int, str]]) -> DataFrame:
@@ -170,10 +176,11 @@ def leaks(df: DataFrame, id: str, text: str, items: DataFrame, item_id: str, ite
                 for i, t in zip(pdf["id"], pdf["text"], strict=True):
                     longest, spans = finder.find(t)
                     if longest:
-                        cleaned = finder.clean(t, spans)
-                        rows += [(i, item, n, cleaned) for item, n in longest.items()]
+                        share = sum(e - b for b, e in spans) / len(normal(t))
+                        cleaned = finder.clean(t, spans) if share < cover else ""
+                        rows += [(i, item, n, share, cleaned) for item, n in longest.items()]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["id", "item", "longest", "cleaned"])
+                    yield pd.DataFrame(rows, columns=["id", "item", "longest", "covered", "cleaned"])
 
         return df.select(F.col(id).alias("id"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, schema)
 

@@ -292,6 +292,26 @@ def test_leaks_against_brute_force(spark):
     cleaned = leaks.Finder([(i, leaks.normal(t)) for i, t in items if t], 40)
     assert all(not cleaned.find(x["cleaned"])[0] for x in got)
     assert leaks.leaks(df, "k", "text", it.limit(0), "item_id", "text").count() == 0
+    whole = {(x["id"], x["item"]): x for x in leaks.leaks(df, "k", "text", it, "item_id", "text", cover=0.3).collect()}
+    assert whole[(97, 2)]["covered"] == 1.0 and whole[(97, 2)]["cleaned"] == "" and all((x["cleaned"] == "") == (x["covered"] >= 0.3) for x in whole.values())
+    block = leaks.BLOCK_CHARS
+    try:
+        leaks.BLOCK_CHARS = 300
+        assert {(x["id"], x["item"]) for x in leaks.leaks(df, "k", "text", it, "item_id", "text").collect()} == bad
+    finally:
+        leaks.BLOCK_CHARS = block
+
+
+def test_an_automaton_of_a_full_block_fits_a_worker():
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    text = "".join(map(chr, r.integers(0x4E00, 0x9FA5, leaks.BLOCK_CHARS // 20)))
+    tracemalloc.start()
+    leaks.Finder([(i, text[i * 500 : i * 500 + 500]) for i in range(len(text) // 500)], 40)
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size * 20 < 500e6
 
 
 # ---- abusive content
