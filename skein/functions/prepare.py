@@ -84,7 +84,8 @@ def fnv(c: Column) -> Column:
     """32-bit FNV-1a hash of the UTF-8 bytes."""
     h = F.hex(F.encode(c, "UTF-8"))
     codes = F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(1), (F.length(h) / 2).cast("int")), lambda i: F.conv(F.substring(h, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda s, b: F.pmod(s.bitwiseXOR(b) * 16777619, F.lit(4294967296)))
+    hashed = F.aggregate(codes, F.lit(2166136261).cast("long"), lambda s, b: F.pmod(s.bitwiseXOR(b) * 16777619, F.lit(4294967296)))
+    return F.when(c.isNotNull(), hashed)
 
 
 def byte_distance(a: Column, b: Column) -> Column:

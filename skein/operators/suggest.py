@@ -59,6 +59,35 @@ def corrections(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     return summed.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy(F.desc(F.round("score", 9)), "candidate"))).where("r = 1").drop("r")
 
 
+#: What speaks against a word: unseen after its left neighbour, before its right one, not in the dictionary (per character).
+AFTER, BEFORE, UNKNOWN = 0.6, 0.4, 0.8
+
+
+def suspects(df: DataFrame, id: str, tokens: str, counted: DataFrame, words: DataFrame, word: str, least: int = 2) -> DataFrame:
+    """(id, pos, begin, end, word, score): the tokens of a text with their characters' range and how much speaks against them; a pair seen fewer than ``least`` times is unseen.
+
+    ``counted`` has (w1, w2, n). Neighbours meet the counts by equality; nothing of a text is regrouped.
+    """
+    t = F.filter(F.col(tokens), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    at = lambda i: F.coalesce(F.try_element_at("t", i), F.lit("<EOS>"))
+    rows = df.where(F.col(tokens).isNotNull()).select(F.col(id).alias("id"), t.alias("t")).where("size(t) > 0").select("id", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("pos"))
+    begin = F.aggregate(F.slice("t", F.lit(1), F.col("pos") - 1), F.lit(0), lambda s, x: s + F.length(x))
+    rows = rows.select("id", "pos", begin.alias("begin"), at(F.col("pos")).alias("word"), F.when(F.col("pos") == 1, "<SOS>").otherwise(F.element_at("t", F.greatest(F.col("pos") - 1, F.lit(1)))).alias("left"), at(F.col("pos") + 1).alias("right"))
+    seen = counted.where(F.col("n") >= least)
+    rows = rows.join(seen.select(F.col("w1").alias("left"), F.col("w2").alias("word"), F.lit(True).alias("after")), ["left", "word"], "left").join(seen.select(F.col("w1").alias("word"), F.col("w2").alias("right"), F.lit(True).alias("before")), ["word", "right"], "left")
+    known = words.select(F.col(word).alias("word")).where("word is not null").distinct().withColumn("known", F.lit(True))
+    rows = rows.join(small(known), "word", "left")
+    score = F.when(F.col("after").isNull(), AFTER).otherwise(0.0) + F.when(F.col("before").isNull(), BEFORE).otherwise(0.0) + F.when(F.col("known").isNull(), UNKNOWN * F.length("word")).otherwise(0.0)
+    return rows.select("id", "pos", "begin", (F.col("begin") + F.length("word")).alias("end"), "word", score.alias("score"))
+
+
+def corrected(marked: DataFrame, best: DataFrame, least: float) -> DataFrame:
+    """(id, text, changed): the texts with each suspect of at least ``least`` replaced by its best candidate (word, candidate), if it has one."""
+    j = marked.join(best.select("word", "candidate"), "word", "left").withColumn("use", (F.col("score") >= least) & F.col("candidate").isNotNull())
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("use"), F.col("candidate")).otherwise(F.col("word")).alias("w"))))
+    return j.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["w"]), "").alias("text"), F.count_if("use").alias("changed"))
+
+
 #: Log-probabilities of moving between the places of a character in its word (1st, 2nd, 3rd, later).
 MOVES = {"bb": -0.36, "bc": -1.2, "cb": -0.69, "cd": -0.69, "db": -0.51, "de": -0.92, "eb": -0.36, "ee": -1.2}
 

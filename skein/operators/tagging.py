@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from skein.functions import text as tx
 from skein.session import small
 
-_PIECE = 128
+_PIECE, _HEADS = 128, 2_000
 
 
 def mentions(df: DataFrame, id: str, text: str, words: DataFrame, word: str, longest: int = 12) -> DataFrame:
@@ -21,10 +21,13 @@ def mentions(df: DataFrame, id: str, text: str, words: DataFrame, word: str, lon
     """
     w = words.select(F.col(word).alias("word")).where("word is not null and word <> ''").distinct()
     lengths = sorted(r[0] for r in w.where(F.length("word") <= longest).select(F.length("word")).distinct().collect()) or [1]  # at most ``longest`` numbers
+    # only substrings that begin like a word are kept, where the beginnings are few enough for a hash set in the plan
+    heads = [r[0] for r in w.select(F.substring("word", 1, 2)).distinct().limit(_HEADS + 1).collect()]
+    begins = (lambda g: F.filter(g, lambda x: F.substring(x, 1, 2).isin(heads))) if 0 < len(heads) <= _HEADS else (lambda g: g)
     # a long text is cut into overlapping pieces first, as finding a place in a string takes time in proportion to the place
     pieces = F.transform(F.sequence(F.lit(1), F.length(text), F.lit(_PIECE)), lambda s: F.substring(F.col(text), s, F.lit(_PIECE + longest - 1)))
     cut = df.where(F.length(text) > 0).select(F.col(id).alias(id), F.explode(pieces).alias("piece"))
-    subs = cut.select(id, F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("piece"), F.lit(n)) for n in lengths])))).alias("word"))
+    subs = cut.select(id, F.explode(F.array_distinct(begins(F.flatten(F.array(*[_grams(F.col("piece"), F.lit(n)) for n in lengths]))))).alias("word"))
     short = subs.join(small(w.where(F.length("word") <= longest)), "word").select(id, "word").distinct()
     long = w.where(F.length("word") > longest)
     many = df.where(F.col(text).isNotNull()).select(id, text).join(small(long), F.contains(F.col(text), F.col("word"))).select(id, "word")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from skein.functions import similarity as sim
 from skein.functions import text as tx
-from skein.operators import graph, models, retrieve, suggest, tagging
+from skein.operators import counts, graph, models, retrieve, suggest, tagging
 from skein.plans import feature_queries as fq
 from skein.plans import language_queries as lq
 from skein.plans import retrieval_queries as rq
@@ -117,6 +116,34 @@ def q_reading_candidates(spark: SparkSession, d: str) -> DataFrame:
     return suggest.reading_candidates(lq._words(spark, d), "word", spark.createDataFrame(lq.READINGS, "ch string, reading string"), 1)
 
 
+_SUSPECTS = """b as (select w1, w2, count(*) as n from (select unnest(list_transform(range(1, len(w)), lambda i: w[i])) as w1, unnest(list_transform(range(1, len(w)), lambda i: w[i + 1])) as w2 from (select list_concat(['<SOS>'], list_filter(question_fine_cut, lambda t: t is not null), ['<EOS>']) as w from qa where question_fine_cut is not null)) group by all having count(*) >= 2),
+t as (select qa_index as id, list_filter(question_fine_cut, lambda t: t is not null and trim(t) <> '') as t from qa where question_fine_cut is not null), r as (select id, unnest(t) as word, unnest(range(1, len(t) + 1)) as pos, t from t),
+x as (select id, pos, word, case when pos = 1 then '<SOS>' else t[pos - 1] end as l, coalesce(t[pos + 1], '<EOS>') as r, cast(length(array_to_string(t[1:pos - 1], '')) as int) as begin from r), k as (select distinct name as word from entity_alias where name is not null union select distinct symptom from symptom_relation where symptom is not null),
+m as (select id, pos, begin, begin + length(x.word) as fin, x.word, case when b1.n is null then 0.6 else 0.0 end + case when b2.n is null then 0.4 else 0.0 end + case when k.word is null then 0.8 * length(x.word) else 0.0 end as score from x left join b b1 on b1.w1 = l and b1.w2 = x.word left join b b2 on b2.w1 = x.word and b2.w2 = x.r left join k on k.word = x.word)"""
+
+
+def _suspects(spark: SparkSession, d: str) -> DataFrame:
+    qa = table(spark, d, "qa")
+    words = table(spark, d, "entity_alias").select(F.col("name").alias("w")).unionByName(table(spark, d, "symptom_relation").select(F.col("symptom").alias("w")))
+    return suggest.suspects(qa, "qa_index", "question_fine_cut", counts.bigrams(qa, "question_fine_cut"), words, "w")
+
+
+@query(f"with {_SUSPECTS} select id as qa_index, cast(pos as int) as pos, begin, cast(fin as int) as end_, word, round(score, 6) as score from m")
+def q_suspects(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the questions with their places and what speaks against them."""
+    return _suspects(spark, d).select(F.col("id").alias("qa_index"), "pos", "begin", F.col("end").alias("end_"), "word", F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_SUSPECTS}, w as (select w as word, count(*) as n from (select unnest(question_fine_cut) as w from qa) where length(w) >= 2 and regexp_full_match(w, '[\\x{{4e00}}-\\x{{9fff}}]+') group by w),
+c as (select x.word, y.word as candidate, y.n / (x.n + y.n) as s from w x join w y on length(x.word) = length(y.word) and x.word <> y.word where len(list_filter(range(1, length(x.word) + 1), lambda i: x.word[i] <> y.word[i])) = 1),
+o as (select word, candidate from (select *, row_number() over (partition by word order by round(s, 9) desc, candidate) as r from c where s >= 0.8) where r = 1), j as (select m.*, case when score >= 1.0 then candidate end as c from m left join o using (word))
+select id as qa_index, string_agg(coalesce(c, word), '' order by pos) as text, count(c) as changed from j group by id""")
+def q_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with their suspect words replaced by the best candidate of one other character that is at least four times as frequent."""
+    best = suggest.corrections([("mask", suggest.masked_candidates(lq._words(spark, d)).where("score >= 0.8"))])
+    return suggest.corrected(_suspects(spark, d), best, 1.0).select(F.col("id").alias("qa_index"), "text", "changed")
+
+
 # ---- answering over the graph
 
 

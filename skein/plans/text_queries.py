@@ -113,13 +113,14 @@ def q_stop_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "qa").where("question_fine_cut is not null").select("qa_index", tx.without_stop_words(F.col("question_fine_cut")).alias("terms"))
 
 
-@query("""select sub_query, list_sort(list(question)) as suggestions from
-  (select distinct question, substring(question, 1, i) as sub_query from (select question, unnest(range(1, least(length(question), 6) + 1)) as i from qa where length(question) between 3 and 40))
-  where not regexp_matches(sub_query, '^[《「【(（“]') group by sub_query""")
+@query("""select sub_query, part, list_sort(list(question)) as suggestions from
+  (select question, part, substring(question, 1, i) as sub_query from (select question, part, unnest(range(1, least(length(question), 6) + 1)) as i from (select question, min(qa_index) // 10000 as part from qa where length(question) between 3 and 40 group by question)))
+  where not regexp_matches(sub_query, '^[《「【(（“]') group by sub_query, part""")
 def q_prefix_suggest(spark: SparkSession, d: str) -> DataFrame:
-    """For every prefix of up to six characters the questions that begin with it."""
-    p = table(spark, d, "qa").where(F.length("question").between(3, 40)).select("question", F.explode(tx.prefixes(F.col("question"))).alias("sub_query"))
-    return p.where(~F.col("sub_query").rlike("^[《「【(（“]")).distinct().groupBy("sub_query").agg(F.array_sort(F.collect_list("question")).alias("suggestions"))
+    """For every prefix of up to six characters the questions that begin with it, in parts by number, so no list has more than ten thousand."""
+    q = table(spark, d, "qa").where(F.length("question").between(3, 40)).groupBy("question").agg(F.expr("min(qa_index) div 10000").alias("part"))
+    p = q.select("question", "part", F.explode(tx.prefixes(F.col("question"))).alias("sub_query"))
+    return p.where(~F.col("sub_query").rlike("^[《「【(（“]")).groupBy("sub_query", "part").agg(F.array_sort(F.collect_list("question")).alias("suggestions"))
 
 
 @query("select qa_index, split_part(replace(answer, '编辑：', '【编】'), '【编】', 1) as body from qa where answer is not null")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,6 +102,33 @@ def keyword_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "scenario string, name string, keyword string, many boolean")
 
 
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table stored at ``path``; built and stored first where there is none. A write that was broken off has no success mark and is done again."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def copy_tables(spark: SparkSession, source: str, target: str, names: list[str]) -> None:
+    """Appends tables of one folder to those of another."""
+    for n in names:
+        append(table(spark, source, n), os.path.join(target, f"{n}.parquet"))
+
+
+def idf_json(spark: SparkSession, path: str) -> DataFrame:
+    """(word, idf) of JSON objects {word: idf}, one per line."""
+    m = F.from_json("value", "map<string,double>")
+    return spark.read.text(path).select(F.explode(m).alias("word", "idf"))
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """(column, rows, nulls, distinct) of every column, in one pass; distinct numbers are approximate."""
+    parts = [F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.approx_count_distinct(F.col(c)).alias("distinct")).alias(f"_{i}") for i, c in enumerate(df.columns)]
+    return df.agg(*parts).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(parts))])))
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     rows = [(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables()]
     return spark.createDataFrame(rows, "name string, kind string, temporary boolean")
