@@ -21,3 +21,35 @@ def folder(spark, tmp_path):
 def test_snippets_where_a_query_has_no_term(spark, folder):
     d = folder(qa=([(0, "aaa 呕吐 bbb", ["呕吐"]), (20, "ccc", []), (40, "ddd", [None]), (60, "eee", None)], "qa_index long, answer string, question_fine_cut array<string>"))
     assert rows(core.QUERIES["q_snippets_of_search"](spark, d)) == [(0, 0, "aaa <em>呕吐</em> bbb")]
+
+
+@pytest.mark.parametrize("weighted", [True, False])
+@pytest.mark.parametrize("k", [1, 7])
+def test_best_documents_are_those_of_all_pairs(spark, weighted, k):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from skein.operators import retrieve
+
+    r = random.Random(5)
+    data = [(i * 7 % 1009, [r.choice("abcdefghijklmnopqrstuvwxyz"[: r.choice((2, 5, 26))]) for _ in range(r.randrange(8))] + r.choice(([], [" "], [None]))) for i in range(600)] + [(5000, None)]
+    df = spark.createDataFrame(data, "id long, t array<string>").repartition(3)
+    qs = df.where("id % 4 = 0")
+    if weighted:
+        everything = retrieve.bm25(df, "id", "t", qs, "id", "t", None)
+    else:
+        wanted = qs.select(F.col("id").alias("qid"), F.explode(F.array_distinct("t")).alias("term"))
+        everything = retrieve.top(retrieve.postings(df, "id", "t").join(wanted, "term").groupBy("qid", "id").agg(F.count(F.lit(1)).cast("double").alias("score")), None)
+    cols = ["qid", "id", F.round("score", 8).alias("score"), "rank"]
+    got = retrieve.top(retrieve.best(df, "id", "t", qs, "id", "t", k, weighted, block=50, most=100), k)
+    assert rows(got.select(*cols)) == rows(everything.where(F.col("rank") <= k).select(*cols))
+
+
+def test_limited_search_makes_no_pairs(spark):
+    """Fails where every pair of query and document becomes a row: then the largest operator has 400 x 2,000 rows."""
+    from skein.operators import retrieve
+
+    df = spark.range(2000).selectExpr("id", "array('a', 'b', concat('c', id % 50)) as t")
+    plan = retrieve.bm25(df, "id", "t", df.where("id % 5 = 0"), "id", "t", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
