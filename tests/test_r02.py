@@ -53,3 +53,12 @@ def test_limited_search_makes_no_pairs(spark):
     df = spark.range(2000).selectExpr("id", "array('a', 'b', concat('c', id % 50)) as t")
     plan = retrieve.bm25(df, "id", "t", df.where("id % 5 = 0"), "id", "t", 10)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_two_fields_make_no_pairs(spark, folder):
+    row = "qa_index long, question string, question_fine_cut array<string>, question_rough_cut array<string>"
+    d = folder(qa=([(i, "x", ["a", f"b{i % 9}"], ["a", f"c{i % 7}"]) for i in range(60)], row))
+    df = core.QUERIES["q_two_fields"](spark, d)
+    assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    got = rows(df)
+    assert len(got) == 30 and all(sum(r[0] == q for r in got) == 10 for q in (0, 20, 40))
