@@ -62,3 +62,12 @@ def test_two_fields_make_no_pairs(spark, folder):
     assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
     got = rows(df)
     assert len(got) == 30 and all(sum(r[0] == q for r in got) == 10 for q in (0, 20, 40))
+
+
+def test_modes_make_no_pairs(spark):
+    from skein.operators import retrieve
+
+    df = spark.createDataFrame([(i, "x", ["a", f"b{i % 9}"]) for i in range(60)], "id long, s string, t array<string>")
+    got = retrieve.by_mode(df, "id", "s", "t", df.where("id % 20 = 0"), ("well", "part"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert got.where("mode = 'part' and qid = 20").select("id", "score").orderBy("rank").limit(8).collect() == [(i, 2.0) for i in range(2, 60, 9)] + [(0, 1.0)]
