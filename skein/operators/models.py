@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, HashingTF, StringIndexer, VectorAssembler, Word2Vec
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokens
+from skein.session import cut
 
 
 def text_classifier(df: DataFrame, id: str, text: str, label: str, seed: int = 18) -> DataFrame:
@@ -74,16 +76,72 @@ def classification_metrics(df: DataFrame, label: str, prediction: str, classes:
     return parts.select(*[F.round(v, 6).alias(k) for k, v in values.items()])
 
 
-def risks(features: DataFrame, diagnoses: DataFrame, id: str, columns: list[str], over: int = 100, bound: int = 500) -> DataFrame:
-    """(id, disease, risk): for every disease with more than ``over`` rows one logistic model on the features, applied to all rows. Each is a model of its own; more than ``bound`` of them are an error."""
+def _ridge(x: np.ndarray, n: np.ndarray, pos: np.ndarray, reg: float) -> np.ndarray:
+    """Probability of each row of x, of which ``n`` copies exist and ``pos`` of them are positive, by the logistic model of least loss: ``reg`` / 2 times the squares of the coefficients of the standardised columns is added to the mean loss, the intercept is free."""
+    total = n.sum()
+    if pos.sum() in (0, total):
+        return np.full(len(x), float(pos.sum() > 0))
+    mean = (n @ x) / total
+    std = np.sqrt(n @ (x - mean) ** 2 / max(total - 1, 1))
+    z = np.hstack([np.where(std > 0, (x - mean) / np.where(std > 0, std, 1), 0), np.ones((len(x), 1))])
+    ridge = np.append(np.full(x.shape[1], reg), 0.0)
+    b = np.append(np.zeros(x.shape[1]), np.log(pos.sum() / (total - pos.sum())))
+    loss = lambda b: (n * np.logaddexp(0, z @ b) - pos * (z @ b)).sum() / total + (ridge * b * b).sum() / 2
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(z @ b)))
+        grad = z.T @ (n * p - pos) / total + ridge * b
+        if np.abs(grad).max() < 1e-12:
+            break
+        step = np.linalg.lstsq((z.T * (n * p * (1 - p))) @ z / total + np.diag(ridge), grad, rcond=None)[0]
+        t, was = 1.0, loss(b)
+        while t > 1e-6 and loss(b - t * step) > was + 1e-15:
+            t /= 2
+        b = b - t * step
+    return 1 / (1 + np.exp(-(z @ b)))
+
+
+def risks(features: DataFrame, diagnoses: DataFrame, id: str, columns: list[str], over: int = 100, bound: int = 500, kinds: int = 5000, places: int = 6) -> DataFrame:
+    """(id, disease, risk rounded): for every disease with more than ``over`` rows one logistic model on the features, applied to all rows. Each is a model of its own.
+
+    Where the features have at most ``kinds`` different rows, these are counted once for all diseases and every model is fitted
+    to the counts, to its optimum; the result is one join. Else each model is fitted by Spark, in twenty steps over all rows,
+    and more than ``bound`` of them are an error.
+    """
+    joined = features.join(diagnoses, id, "left").select(id, *columns, "disease")
+    valid = F.lit(True)
+    for c in columns:
+        valid = valid & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    found = features.select(*columns).distinct().select(*columns, valid.alias("valid")).limit(kinds + 1).collect()
+    counts = 0 < len(found) <= kinds and all(r["valid"] for r in found)
+    bound = 5_000_000 // len(found) if counts else bound
     common = [r["disease"] for r in diagnoses.where("disease is not null").groupBy("disease").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > over).orderBy("disease").limit(bound + 1).collect()]
     if len(common) > bound:
         raise ValueError(f"more than {bound} diseases have over {over} rows; raise the bound or the gate")
-    rows = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(features.join(diagnoses, id, "left"))
+    if common and counts:
+        spark = features.sparkSession
+        of = {tuple(r[c] for c in columns): i for i, r in enumerate(found)}
+        n, pos = np.zeros(len(of)), {d: np.zeros(len(of)) for d in common}
+        counted = joined.groupBy(*columns, F.when(F.col("disease").isin(common), F.col("disease")).alias("disease")).agg(F.count(F.lit(1)).alias("n"))
+        for r in counted.toLocalIterator():
+            i = of[tuple(r[c] for c in columns)]
+            n[i] += r["n"]
+            if r["disease"] is not None:
+                pos[r["disease"]][i] += r["n"]
+        x = np.array(list(of), dtype=np.float64).reshape(len(of), len(columns))
+        p = np.array([_ridge(x, n, pos[d], 0.01) for d in common])
+        names = [f"_{i}" for i in range(len(columns))]
+        kinds_of = ", ".join(f"{a} {features.schema[c].dataType.simpleString()}" for a, c in zip(names, columns, strict=True))
+        table = spark.createDataFrame([(*k, [float(v) for v in p[:, i]]) for k, i in of.items()], f"{kinds_of}, r array<double>")
+        on = None
+        for a, c in zip(names, columns, strict=True):
+            on = (F.col(a) == F.col(c)) if on is None else on & (F.col(a) == F.col(c))
+        every = F.arrays_zip(F.array(*[F.lit(d) for d in common]).alias("disease"), F.transform("r", lambda v: F.round(v, places)).alias("risk"))
+        return joined.select(id, *columns).join(F.broadcast(cut(table.select(*names, every.alias("every")))), on).select(id, F.inline("every"))
+    rows = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(joined)
     out = None
     for d in common:
         mine = rows.withColumn("label", F.coalesce((F.col("disease") == d).cast("double"), F.lit(0.0)))
         model = LogisticRegression(maxIter=20, regParam=0.01).fit(mine)
-        part = model.transform(mine).select(id, F.lit(d).alias("disease"), F.element_at(vector_to_array("probability"), 2).alias("risk"))
+        part = model.transform(mine).select(id, F.lit(d).alias("disease"), F.round(F.element_at(vector_to_array("probability"), 2), places).alias("risk"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.select(id, F.col("disease"), F.lit(0.0).alias("risk")).limit(0)

@@ -71,3 +71,15 @@ def test_modes_make_no_pairs(spark):
     got = retrieve.by_mode(df, "id", "s", "t", df.where("id % 20 = 0"), ("well", "part"))
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
     assert got.where("mode = 'part' and qid = 20").select("id", "score").orderBy("rank").limit(8).collect() == [(i, 2.0) for i in range(2, 60, 9)] + [(0, 1.0)]
+
+
+def test_risks_of_many_diseases_equal_sparks_models(spark):
+    from skein.operators import models
+
+    data = [(str(i), float(i % 3), float(i % 7 == 0), f"d{(i * i + i // 5) % 4}" if i % 11 else None) for i in range(900)]
+    f = spark.createDataFrame([r[:3] for r in data], "id string, a double, b double")
+    v = spark.createDataFrame([(r[0], r[3]) for r in data], "id string, disease string")
+    got = {(r[0], r[1]): r[2] for r in models.risks(f, v, "id", ["a", "b"], over=10, bound=2).collect()}  # more diseases than jobs are allowed
+    by_spark = {(r[0], r[1]): r[2] for r in models.risks(f, v, "id", ["a", "b"], over=10, kinds=-1).collect()}
+    assert got.keys() == by_spark.keys() and len(got) == 900 * len({r[3] for r in data if r[3]})
+    assert max(abs(got[k] - by_spark[k]) for k in got) < 1e-4
