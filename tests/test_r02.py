@@ -83,3 +83,8 @@ def test_risks_of_many_diseases_equal_sparks_models(spark):
     by_spark = {(r[0], r[1]): r[2] for r in models.risks(f, v, "id", ["a", "b"], over=10, kinds=-1).collect()}
     assert got.keys() == by_spark.keys() and len(got) == 900 * len({r[3] for r in data if r[3]})
     assert max(abs(got[k] - by_spark[k]) for k in got) < 1e-4
+
+
+def test_viterbi_words_broadcast_nothing(spark, sf):
+    plan = core.QUERIES["q_viterbi_words"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
