@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import char_grams
+from skein.session import cut
 
 BEGIN, END = "<SOS>", "<EOS>"
 
@@ -60,26 +66,91 @@ def new_words(df: DataFrame, text: str, longest: int = 5, least_n: int = 5, leas
 
 def cooccurrence(df: DataFrame, tokens: str, window: int = 3) -> DataFrame:
     """(a, b, weight): undirected, a <= b; each ordered pair of places within the window adds window - distance + 1, so every pair counts from both sides."""
-    n = F.size("w")
     clean = df.select(F.filter(F.col(tokens), lambda t: t.isNotNull() & (F.trim(t) != "")).alias("w")).where("size(w) > 1")
-    near = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, F.least(i + window, n)), lambda j: F.struct(F.element_at("w", i).alias("x"), F.element_at("w", j).alias("y"), (window - (j - i) + 1).alias("v")))))
-    pairs = clean.select(F.inline(near))
+    places = clean.select("w", F.posexplode("w").alias("i", "x"))
+    pairs = places.select("x", F.posexplode(F.slice("w", F.col("i") + 2, F.lit(window))).alias("k", "y")).withColumn("v", window - F.col("k"))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "v").groupBy("a", "b").agg((F.sum("v") * 2).alias("weight"))
 
 
-def network_similarity(edges: DataFrame, least: float = 0.25) -> DataFrame:
-    """(x, y, similarity): jaccard of the neighbour sets times the shares of each one's edge weight that goes to common neighbours; only pairs with a common neighbour are formed.
-
-    A neighbour of degree d joins d nodes; nodes linked to a large part of the network say little, and their pairs come from
-    a self-join that adaptive execution splits where it is skewed.
+#: Products of edges, and cells of a table of pairs, that a task holds at once.
+PRODUCTS, CELLS = 2_000_000, 4_000_000
+
+
+def _similar(t: pa.Table, least: float) -> pa.Table:
+    """(x, y, similarity) of the nodes of one block, or of each node of one block with each of the other: a sparse product by rows of bounded size."""
+    if len(t) and t["lo"][0].as_py() != t["hi"][0].as_py() and pc.count_distinct(t["block"]).as_py() < 2:
+        return pa.table({"x": pa.array([], pa.string()), "y": pa.array([], pa.string()), "similarity": pa.array([], pa.float64())})
+    t = t.take(pc.sort_indices(t["a"])).combine_chunks()  # a node's place tells its order by name
+    links = t["l"].combine_chunks()
+    d, flat = pc.list_value_length(links).to_numpy(zero_copy_only=False).astype(np.int64), links.flatten()
+    n, node, w = len(t), np.repeat(np.arange(len(t)), d), flat.field("weight").to_numpy(zero_copy_only=False).astype(np.int64)
+    words = flat.field("b").dictionary_encode()
+    b, kinds = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+    total = np.bincount(node, w, n)
+    own = t["block"].to_numpy() == t["lo"][0].as_py()
+    one = t["lo"][0].as_py() == t["hi"][0].as_py()
+    other = np.flatnonzero(one | ~own[node])
+    other = other[np.lexsort((node[other], b[other]))]  # edges of the other side by neighbour, then by node
+    ny, wy, at = node[other], w[other], np.searchsorted(b[other], np.arange(kinds + 1))
+    if one:  # only nodes that come after a node in the order
+        first = np.empty(len(b), np.int64)
+        first[other] = np.arange(len(other)) + 1
+    else:
+        first = at[b]
+    edges = np.flatnonzero(own[node])
+    many = at[b[edges] + 1] - first[edges]
+    edges, many = edges[many > 0], many[many > 0]
+    out, i, done = [], 0, np.append(0, np.cumsum(many))
+    while i < len(edges):
+        # whole nodes up to the bounds, one at least
+        stop = min(np.searchsorted(done, done[i] + PRODUCTS, "right") - 1, np.searchsorted(node[edges], node[edges[i]] + max(CELLS // n, 1)))
+        stop = max(np.searchsorted(node[edges], node[edges[stop]]) if stop < len(edges) else stop, np.searchsorted(node[edges], node[edges[i]], "right"))
+        e, k = edges[i:stop], many[i:stop]
+        place = np.repeat(first[e] - (done[i:stop] - done[i]), k) + np.arange(k.sum())
+        low, rows = node[e[0]], node[e[-1]] - node[e[0]] + 1
+        key, cells, keys = np.repeat((node[e] - low) * n, k) + ny[place], rows * n, None
+        if len(key) * 16 < cells:
+            keys, key = np.unique(key, return_inverse=True)
+            cells = len(keys)
+        c = np.bincount(key, minlength=cells)
+        hit = np.flatnonzero(c)
+        p, q = np.divmod(hit if keys is None else keys[hit], n)
+        p += low
+        c = c[hit]
+        near = c / (d[p] + d[q] - c)
+        kept = near > least  # the shares are 1 at most
+        hit, p, q, near = hit[kept], p[kept], q[kept], near[kept]
+        number = np.full(cells, -1)
+        number[hit] = np.arange(len(hit))
+        at_hit = number[key]
+        used = at_hit >= 0
+        cp, cq = np.bincount(at_hit[used], np.repeat(w[e], k)[used], len(hit)), np.bincount(at_hit[used], wy[place[used]], len(hit))
+        sp, sq = cp / total[p], cq / total[q]
+        s = near * np.where(p < q, sp, sq) * np.where(p < q, sq, sp)
+        kept = s > least
+        out.append((np.minimum(p, q)[kept], np.maximum(p, q)[kept], s[kept]))
+        i = stop
+    x, y, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    names = t["a"].combine_chunks()
+    return pa.table({"x": names.take(pa.array(x)), "y": names.take(pa.array(y)), "similarity": s})
+
+
+def network_similarity(edges: DataFrame, least: float = 0.25, block: tuple[int, int] = (50_000, 1_000_000)) -> DataFrame:
+    """(x, y, similarity): jaccard of the neighbour sets times the shares of each one's edge weight that goes to common neighbours; exact, all pairs above ``least``.
+
+    A pair and a neighbour of both never become a row. Nodes are put into blocks by the number of binary digits of their degree, and by
+    hash where a class has more edges than ``block`` allows (a sixteenth of all, between its two bounds); a task multiplies two blocks.
+    The jaccard is at most the ratio of the degrees, so classes that are too far apart don't meet, and hubs meet hubs only.
     """
     both = edges.where("a <> b").select("a", "b", "weight").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"), F.sum("weight").alias("w"))
-    left, right = both.select(F.col("a").alias("x"), "b", F.col("weight").alias("wx")), both.select(F.col("a").alias("y"), "b", F.col("weight").alias("wy"))
-    common = left.join(right, "b").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.sum("wx").alias("cx"), F.sum("wy").alias("cy"))
-    dx, dy = degree.select(F.col("a").alias("x"), F.col("d").alias("dx"), F.col("w").alias("tx")), degree.select(F.col("a").alias("y"), F.col("d").alias("dy"), F.col("w").alias("ty"))
-    s = F.col("c") / (F.col("dx") + F.col("dy") - F.col("c")) * (F.col("cx") / F.col("tx")) * (F.col("cy") / F.col("ty"))
-    return common.join(dx, "x").join(dy, "y").select("x", "y", s.alias("similarity")).where(F.col("similarity") > least)
+    nodes = cut(both.groupBy("a").agg(F.collect_list(F.struct("b", "weight")).alias("l")).withColumn("class", F.length(F.bin(F.size("l").cast("long")))))
+    sizes = {r[0]: r[1] for r in nodes.groupBy("class").agg(F.sum(F.size("l"))).collect()}  # a row for each number of digits
+    most, span = min(max(sum(sizes.values()) // 16, block[0]), block[1]), math.ceil(math.log2(1 / least)) if least > 0 else 64
+    parts = [(c, i, -(-size // most)) for c, size in sorted(sizes.items()) for i in range(-(-size // most))]
+    met = [(c, i, n, p, min(p, q), max(p, q)) for p, (c, i, n) in enumerate(parts) for q, (o, _, _) in enumerate(parts) if abs(c - o) <= span]
+    meet = F.broadcast(edges.sparkSession.createDataFrame(met, "class int, i int, n int, block int, lo int, hi int"))
+    sides = nodes.join(meet, (nodes["class"] == meet["class"]) & (F.pmod(F.xxhash64("a"), F.col("n")) == F.col("i"))).select("a", "l", "block", "lo", "hi")
+    return sides.groupBy("lo", "hi").applyInArrow(lambda t: _similar(t, least), "x string, y string, similarity double")
 
 
 def sentence_probability(df: DataFrame, id: str, tokens: str) -> DataFrame:
