@@ -78,3 +78,12 @@ def test_cooccurrence_counts_every_place_of_the_window(spark):
                 want[k] = want.get(k, 0) + 2 * (4 - (j - i))
     assert rows(counts.cooccurrence(spark.createDataFrame([(w,) for w in data], "t array<string>"), "t")) == sorted(((*k, v) for k, v in want.items()), key=repr)
     assert math.isclose(sum(want.values()), 2 * sum((3 if j - i == 1 else 2 if j - i == 2 else 1) for n in (6, 2) for i in range(n) for j in range(i + 1, min(i + 4, n))))
+
+
+def test_synonyms_make_no_row_for_a_pair_and_a_neighbour(spark, sf):
+    from skein.plans import queries as core
+
+    got = core.QUERIES["q_synonyms"](spark, sf)
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    net = got.where("method = 'network'").drop("method")
+    assert rows(net) == rows(core.QUERIES["q_network_similarity"](spark, sf)) and net.count() > 0
