@@ -87,3 +87,35 @@ def test_synonyms_make_no_row_for_a_pair_and_a_neighbour(spark, sf):
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
     net = got.where("method = 'network'").drop("method")
     assert rows(net) == rows(core.QUERIES["q_network_similarity"](spark, sf)) and net.count() > 0
+
+
+def test_terms_held_by_documents_of_the_same_key(spark):
+    from skein.operators import retrieve
+
+    r = random.Random(11)
+    words = ["ab", "bc", "呕吐", "吐", "zz", "a"]
+    docs = [(i, "".join(r.choices(words, k=3)) if i % 9 else None, r.choice(("", "", "", "d1", "d2", None))) for i in range(300)] + [(400, "", "d1"), (401, "ab", "alone")]
+    asks = [(i, r.sample(words, r.randrange(4)), r.choice(("", "d1", "d2", "other", None))) for i in range(60)]
+    df = spark.createDataFrame(docs, "id long, s string, k string").repartition(3)
+    qs = spark.createDataFrame(asks, "qid long, t array<string>, k string")
+    want = sorted(((q, i, sum(w in s for w in t), len(t)) for q, t, k in asks for i, s, m in docs if k is not None and k == m and s is not None), key=repr)
+    for side in (2_000, 7):
+        assert rows(retrieve.held_terms(df, "id", "s", qs, "qid", "t", "k", side)) == want
+
+
+def test_a_hot_key_is_spread_over_tasks(spark):
+    """Fails where all pairs of a key are made in one task."""
+    from pyspark.sql import functions as F
+
+    from skein.operators import retrieve
+
+    df = spark.range(6000).selectExpr("id", "concat('x', id) as s", "'' as k")
+    got = retrieve.held_terms(df, "id", "s", df.selectExpr("id", "array('x1') as t", "k").where("id % 60 = 0"), "id", "t", "k", side=500)
+    per_task = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(per_task) == 600_000 and len(per_task) > 1
+
+
+def test_proximity_spreads_the_questions_of_a_disease(spark, sf):
+    from skein.plans import queries as core
+
+    assert "FlatMapCoGroupsInArrow" in core.QUERIES["q_proximity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
