@@ -119,3 +119,13 @@ def test_proximity_spreads_the_questions_of_a_disease(spark, sf):
     from skein.plans import queries as core
 
     assert "FlatMapCoGroupsInArrow" in core.QUERIES["q_proximity"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_empty_tables_and_queries_without_terms(spark):
+    from skein.operators import counts, retrieve
+
+    assert rows(counts.network_similarity(spark.createDataFrame([], "a string, b string, weight long"))) == []
+    df = spark.createDataFrame([(1, "x", "k"), (2, "", "k")], "id long, s string, k string")
+    qs = spark.createDataFrame([(7, [], "k")], "qid long, t array<string>, k string")
+    assert rows(retrieve.held_terms(df, "id", "s", qs, "qid", "t", "k")) == [(7, 1, 0, 0), (7, 2, 0, 0)]
+    assert rows(retrieve.held_terms(df.limit(0), "id", "s", qs, "qid", "t", "k")) == []
