@@ -72,8 +72,10 @@ def cooccurrence(df: DataFrame, tokens: str, window: int = 3) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "v").groupBy("a", "b").agg((F.sum("v") * 2).alias("weight"))
 
 
-#: Products of edges, and cells of a table of pairs, that a task holds at once.
-PRODUCTS, CELLS = 2_000_000, 4_000_000
+#: Products of edges, and cells of a table of pairs, that a task holds at once: few enough to stay in a CPU's cache.
+PRODUCTS, CELLS = 250_000, 250_000
+#: Edges that a node counts as at least when blocks are made: those of few edges are many, and a task's time grows with its pairs of nodes.
+LIGHT = 8
 
 
 def _similar(t: pa.Table, least: float) -> pa.Table:
@@ -91,7 +93,10 @@ def _similar(t: pa.Table, least: float) -> pa.Table:
     one = t["lo"][0].as_py() == t["hi"][0].as_py()
     other = np.flatnonzero(one | ~own[node])
     other = other[np.lexsort((node[other], b[other]))]  # edges of the other side by neighbour, then by node
-    ny, wy, at = node[other], w[other], np.searchsorted(b[other], np.arange(kinds + 1))
+    cols = np.arange(n) if one else np.flatnonzero(~own)
+    column = np.empty(n, np.int64)
+    column[cols] = np.arange(len(cols))
+    ny, wy, at = column[node[other]], w[other], np.searchsorted(b[other], np.arange(kinds + 1))
     if one:  # only nodes that come after a node in the order
         first = np.empty(len(b), np.int64)
         first[other] = np.arange(len(other)) + 1
@@ -100,31 +105,42 @@ def _similar(t: pa.Table, least: float) -> pa.Table:
     edges = np.flatnonzero(own[node])
     many = at[b[edges] + 1] - first[edges]
     edges, many = edges[many > 0], many[many > 0]
+    of, share, fewest = node[edges], max(least, 0) / (1 + max(least, 0)) * (1 - 1e-9), d[cols].min() if len(cols) else 0
     out, i, done = [], 0, np.append(0, np.cumsum(many))
     while i < len(edges):
+        low = of[i]
+        base = low if one else 0  # the first column that is met
+        width = len(cols) - base
         # whole nodes up to the bounds, one at least
-        stop = min(np.searchsorted(done, done[i] + PRODUCTS, "right") - 1, np.searchsorted(node[edges], node[edges[i]] + max(CELLS // n, 1)))
-        stop = max(np.searchsorted(node[edges], node[edges[stop]]) if stop < len(edges) else stop, np.searchsorted(node[edges], node[edges[i]], "right"))
-        e, k = edges[i:stop], many[i:stop]
-        place = np.repeat(first[e] - (done[i:stop] - done[i]), k) + np.arange(k.sum())
-        low, rows = node[e[0]], node[e[-1]] - node[e[0]] + 1
-        key, cells, keys = np.repeat((node[e] - low) * n, k) + ny[place], rows * n, None
-        if len(key) * 16 < cells:
-            keys, key = np.unique(key, return_inverse=True)
-            cells = len(keys)
-        c = np.bincount(key, minlength=cells)
-        hit = np.flatnonzero(c)
-        p, q = np.divmod(hit if keys is None else keys[hit], n)
-        p += low
-        c = c[hit]
+        stop = min(np.searchsorted(done, done[i] + PRODUCTS, "right") - 1, np.searchsorted(of, low + max(CELLS // width, 1)))
+        stop = max(np.searchsorted(of, of[stop]) if stop < len(edges) else stop, np.searchsorted(of, low, "right"))
+        e, k, begin = edges[i:stop], many[i:stop], done[i:stop] - done[i]
+        place = np.repeat(first[e] - begin, k) + np.arange(k.sum())
+        rows = of[stop - 1] - low + 1
+        key, cells = np.repeat((of[i:stop] - low) * width - base, k) + ny[place], rows * width
+        if sparse := len(key) * 16 < cells:
+            order = np.argsort(key)
+            keys = key[order]
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            pair, c = keys[start], np.diff(np.append(start, len(keys)))
+        else:
+            c = np.bincount(key, minlength=cells)
+            pair = np.flatnonzero(c > int(share * (d[of[i:stop]].min() + fewest)))  # no more common neighbours than this are too few for any pair here
+            c = c[pair]
+        p, q = np.divmod(pair, width)
+        p, q = p + low, cols[q + base]
         near = c / (d[p] + d[q] - c)
-        kept = near > least  # the shares are 1 at most
-        hit, p, q, near = hit[kept], p[kept], q[kept], near[kept]
-        number = np.full(cells, -1)
-        number[hit] = np.arange(len(hit))
-        at_hit = number[key]
-        used = at_hit >= 0
-        cp, cq = np.bincount(at_hit[used], np.repeat(w[e], k)[used], len(hit)), np.bincount(at_hit[used], wy[place[used]], len(hit))
+        kept = np.flatnonzero(near > least)  # the shares are 1 at most
+        pair, p, q, near, c = pair[kept], p[kept], q[kept], near[kept], c[kept]
+        if sparse:
+            at_hit = np.repeat(np.arange(len(pair)), c)
+            used = order[np.repeat(start[kept] - np.cumsum(c) + c, c) + np.arange(len(at_hit))]
+        else:
+            number, met = np.empty(cells, np.int32), np.zeros(cells, bool)
+            number[pair], met[pair] = np.arange(len(pair)), True
+            used = np.flatnonzero(met[key])
+            at_hit = number[key[used]]
+        cp, cq = np.bincount(at_hit, w[e[np.searchsorted(begin, used, "right") - 1]], len(pair)), np.bincount(at_hit, wy[place[used]], len(pair))
         sp, sq = cp / total[p], cq / total[q]
         s = near * np.where(p < q, sp, sq) * np.where(p < q, sq, sp)
         kept = s > least
@@ -144,7 +160,7 @@ def network_similarity(edges: DataFrame, least: float = 0.25, block: tuple[int,
     """
     both = edges.where("a <> b").select("a", "b", "weight").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     nodes = cut(both.groupBy("a").agg(F.collect_list(F.struct("b", "weight")).alias("l")).withColumn("class", F.length(F.bin(F.size("l").cast("long")))))
-    sizes = {r[0]: r[1] for r in nodes.groupBy("class").agg(F.sum(F.size("l"))).collect()}  # a row for each number of digits
+    sizes = {r[0]: r[1] for r in nodes.groupBy("class").agg(F.sum(F.greatest(F.size("l"), F.lit(LIGHT)))).collect()}  # a row for each number of digits
     most, span = min(max(sum(sizes.values()) // 16, block[0]), block[1]), math.ceil(math.log2(1 / least)) if least > 0 else 64
     parts = [(c, i, -(-size // most)) for c, size in sorted(sizes.items()) for i in range(-(-size // most))]
     met = [(c, i, n, p, min(p, q), max(p, q)) for p, (c, i, n) in enumerate(parts) for q, (o, _, _) in enumerate(parts) if abs(c - o) <= span]

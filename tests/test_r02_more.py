@@ -129,3 +129,33 @@ def test_empty_tables_and_queries_without_terms(spark):
     qs = spark.createDataFrame([(7, [], "k")], "qid long, t array<string>, k string")
     assert rows(retrieve.held_terms(df, "id", "s", qs, "qid", "t", "k")) == [(7, 1, 0, 0), (7, 2, 0, 0)]
     assert rows(retrieve.held_terms(df.limit(0), "id", "s", qs, "qid", "t", "k")) == []
+
+
+@pytest.mark.parametrize("hubs", [12, 400])  # many products per pair of nodes, and few
+@pytest.mark.parametrize("sides", [1, 2])
+def test_similar_nodes_are_found_in_pieces_of_bounded_size(hubs, sides):
+    """Fails where a piece of the product outgrows a CPU's cache: pieces of 2,000,000 products took over 80 MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skein.operators import counts
+
+    r = random.Random(hubs)
+    near = {f"n{i}": {f"h{j}": r.randrange(1, 9) for j in r.sample(range(hubs), 3)} for i in range(3000)}
+    want = {}
+    for x in near:
+        for y in near:
+            both = near[x].keys() & near[y].keys() if x < y and (sides == 1 or int(x[1:]) % 2 != int(y[1:]) % 2) else ()
+            if both:
+                s = len(both) / (6 - len(both)) * (sum(near[x][b] for b in both) / sum(near[x].values())) * (sum(near[y][b] for b in both) / sum(near[y].values()))
+                if s > 0.25:
+                    want[x, y] = s
+    block = [int(x[1:]) % sides for x in near]
+    t = pa.table({"a": list(near), "l": [[{"b": b, "weight": w} for b, w in near[x].items()] for x in near], "block": pa.array(block, pa.int32()), "lo": pa.array([0] * 3000, pa.int32()), "hi": pa.array([sides - 1] * 3000, pa.int32())})
+    tracemalloc.start()
+    got = counts._similar(t, 0.25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(x["x"], x["y"]): x["similarity"] for x in got.to_pylist()} == want and len(want) > 50
+    assert peak < 60e6
